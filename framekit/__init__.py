@@ -1,7 +1,14 @@
 """Comparing, numbering, summarising and laying out tables, in plain PySpark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
 
+# Functions sent to executors carry the library's code along, so that it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from framekit.fluent import On, call, transform_if
 from framekit.functions.aggregates import count_null
 from framekit.functions.ticks import (
