@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import crc_sql, language_id, pii, sharding, url_rules
+from framekit.llm import crc_sql, language_id, lm_score, pii, quality, sharding, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- quality -------------------------------------------------------------------------------
+
+
+@_query()
+def op1_quality(spark, d):
+    """Every document with its weak label, its score and whether it is accepted."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.train(docs), keep=["doc_id"])
+
+
 # ---- sharding ------------------------------------------------------------------------------
 
 SHARDS = 16
@@ -81,14 +91,25 @@ def op4_url_filter(spark, d):
     return url_rules.judge(table(spark, d, "pages").select("page_id", "url"), "url", RULES, keep=["page_id"])
 
 
-# ---- language ------------------------------------------------------------------------------
-
-
 def _fold(n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+# ---- language model ------------------------------------------------------------------------
+
+
+@_query()
+def op7_lm_score(spark, d):
+    """Every document under the class model of the documents outside fold 2 of 7."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (_fold(7) == 2).alias("held_out"))
+    model, head, counts = lm_score.fit(docs.where(~F.col("held_out")).select("text"))
+    return lm_score.score(docs, model, head, counts, keep=["doc_id", "held_out"])
+
+
+# ---- language ------------------------------------------------------------------------------
+
+
 @_query()
 def op8_language(spark, d):
     """Every document's language; learned from the documents outside fold 2 of 4."""
