@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import crc_sql, language_id, lm_score, pii, quality, sharding, url_rules
+from framekit.llm import crc_sql, language_id, lm_score, mixing, pii, quality, sharding, topk, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -65,6 +65,19 @@ def op2_sharding(spark, d):
     return sharding.shard(placed, "doc_id", equal, "grown_shard")
 
 
+# ---- mixing --------------------------------------------------------------------------------
+
+#: Slots of each named source and of all others together.
+MIX, MIX_OTHER = {"src0": 20.0, **{f"src{i}": 5.0 for i in range(1, 16)}}, 5.0
+
+
+@_query()
+def op3_mixing(spark, d):
+    """The place of every document in a mixture of its sources."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    return mixing.mix(docs, "source", MIX, MIX_OTHER, ["doc_id", "text_hash"]).drop("text_hash")
+
+
 # ---- URL rules -----------------------------------------------------------------------------
 
 RULES = [
@@ -132,6 +145,21 @@ def op10_pii(spark, d):
     return found.select("doc_id", *counts, F.sha2(written_as(base), 256).alias("base_sha256"), written_as(F.col("spans")).alias("spans"))
 
 
+# ---- top-k ---------------------------------------------------------------------------------
+
+
+@_query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+)
+def op9_top_k(spark, d):
+    """The five best inner products of every fiftieth vector with all others."""
+    return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
