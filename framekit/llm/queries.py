@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import crc_sql, language_id, lm_score, mixing, pii, quality, sharding, topk, url_rules
+from framekit.llm import crc_sql, decontaminate, language_id, lm_score, mixing, pii, quality, sharding, topk, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -109,6 +109,16 @@ def _fold(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+# ---- decontamination -----------------------------------------------------------------------
+
+
+@_query()
+def op6_decontamination(spark, d):
+    """Every overlap of a document with a benchmark item."""
+    found = decontaminate.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.sum("hits").alias("hits"))
+
+
 # ---- language model ------------------------------------------------------------------------
 
 
