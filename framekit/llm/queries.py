@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import crc_sql, decontaminate, language_id, lm_score, mixing, pii, quality, sharding, topk, url_rules
+from framekit.llm import crc_sql, decontaminate, language_id, lm_score, mixing, near_dup, pii, quality, sharding, topk, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -109,6 +109,15 @@ def _fold(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+# ---- near duplicates -----------------------------------------------------------------------
+
+
+@_query()
+def op5_near_dup(spark, d):
+    """Every document with the id of its class of near copies and its text's number of links."""
+    return near_dup.with_classes(table(spark, d, "documents"), keep=("doc_id",))
+
+
 # ---- decontamination -----------------------------------------------------------------------
 
 
