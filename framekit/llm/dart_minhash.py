@@ -17,7 +17,7 @@ import numpy as np
 
 COORDINATES = 128
 #: Length of the first time slice.
-FIRST_SLICE = 2.0**-9
+FIRST_SLICE = 2.0**-4
 
 _U = np.uint64
 
@@ -52,8 +52,9 @@ class _Cell:
         area = self.width * self.length
         n = np.arange(int(area + 12 * math.sqrt(area) + 20))
         log = n * math.log(area) - area - np.concatenate([[0.0], np.cumsum(np.log(np.maximum(n[1:], 1)))])
-        #: Chance of at most 0, 1, 2, ... darts.
+        #: Chance of at most 0, 1, 2, ... darts, and hashes below which there is none.
         self.at_most = np.cumsum(np.exp(log))
+        self.none_below = _U(min(int(self.at_most[0] * 2.0**64), 2**64 - 1))
 
 
 _cells: dict[tuple[int, int], _Cell] = {}
@@ -70,11 +71,10 @@ def _darts(elements: np.ndarray, weights: np.ndarray, region: int, slice_: int)
     """Hash and time of the darts of one cell that hit the set."""
     cell = _cell(region, slice_)
     h = mix(elements ^ cell.salt)
-    number = np.searchsorted(cell.at_most, _unit(h), side="right")
-    some = np.flatnonzero(number)
+    some = np.flatnonzero(h >= cell.none_below)
     if not len(some):
         return np.empty(0, _U), np.empty(0)
-    number = number[some]
+    number = np.searchsorted(cell.at_most, _unit(h[some]), side="right")
     owner = np.repeat(some, number)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
     dart = mix(h[owner] + (nth.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))

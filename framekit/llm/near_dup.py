@@ -7,10 +7,11 @@ over sum of maxima, is at least 0.8. A class is a connected component of links.
 1. Equal texts are one from the start: everything below is per distinct text, keyed by a 64-bit hash.
 2. Every distinct text gets a DartMinHash signature and 64 bands of 8 coordinates. Texts that agree in all of a band's meet in
    a bucket; buckets with the same members count once (a count and sums tell, so no list is built).
-3. In a bucket, signatures are compared; a pair whose agreement is within 3.5 standard deviations of 0.8 is a
-   candidate. A large bucket is cut into blocks that meet pairwise in different tasks, so
-   no task holds more than two blocks and only candidates leave it.
-4. Candidates' texts are fetched and compared exactly.
+3. First, likely links: in a bucket, the text whose signature agrees with most others is paired with those, and so
+   on: fewer pairs than members. Their texts are fetched and compared exactly, and the links joined to components.
+4. Then all the rest: every pair of a bucket that lies in different components and whose signatures' agreement is within 3.5
+   standard deviations of 0.8, once in the first band that it shares, is compared exactly too. A large bucket is cut into blocks that meet
+   pairwise in different tasks, so no task holds more than two blocks and only candidates leave it.
 5. Links are joined to classes by label propagation with pointer jumping, each round written to the shared folder.
 
 A pair at similarity 0.8 is missed with a probability of about 3 in 10,000, at 0.85 of 1 in a million.
@@ -36,8 +37,9 @@ from framekit.names import free_prefix
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_SIZE = 64, 8
-#: Least agreement of a candidate's signatures.
-CANDIDATE = SIMILARITY - 3.5 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
+#: Least agreement of the signatures of a candidate, and of a likely link.
+_DEVIATION = (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
+CANDIDATE, LIKELY = SIMILARITY - 3.5 * _DEVIATION, SIMILARITY - 0.5 * _DEVIATION
 #: Members of a block of a large bucket; keys that are broadcast to fetch texts (8 bytes each).
 BLOCK, BROADCAST_KEYS = 256, 1_000_000
 _CACHE = 300_000
@@ -48,21 +50,29 @@ _U = np.uint64
 class WordHashes(dict):
     """64-bit hashes of words, kept for reuse up to a bound."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         import xxhash
 
         if len(self) > _CACHE:
             self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf8", "surrogatepass"))
+        self[word] = out = xxhash.xxh64_intdigest(word if isinstance(word, bytes) else word.encode("utf8", "surrogatepass"))
         return out
 
 
 _POWERS = mix(np.arange(1, WORDS + 1, dtype=_U)) | _U(1)
 
 
+_ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: str) -> list:
+    """Lower-cased runs of letters and digits, as bytes where the text is ASCII."""
+    return text.encode().translate(_ASCII).split() if text.isascii() else _NOT_WORD.sub(" ", text.lower()).split()
+
+
 def shingles(text: str | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed runs of words, ascending, and how often each occurs."""
-    words = _NOT_WORD.sub(" ", text.lower()).split() if text else []
+    words = words_of(text) if text else []
     if not words:
         return np.empty(0, _U), np.empty(0, np.int64)
     h = np.fromiter(map(known.__getitem__, words), _U, len(words))
@@ -86,8 +96,9 @@ _BAND_BY = mix(np.arange(1, BANDS * BAND_SIZE + 1, dtype=_U)).reshape(BANDS, BAN
 
 
 def band_hashes(signatures: np.ndarray) -> np.ndarray:
-    """n x BANDS hashes of n x COORDINATES signatures."""
-    return mix((signatures.astype(_U)[:, _BAND_AT] * _BAND_BY).sum(axis=2, dtype=_U) + np.arange(BANDS, dtype=_U))
+    """n x BANDS hashes of n x COORDINATES signatures; the band's number is in the lowest bits."""
+    number = np.arange(BANDS, dtype=_U)
+    return mix((signatures.astype(_U)[:, _BAND_AT] * _BAND_BY).sum(axis=2, dtype=_U) + number) // _U(BANDS) * _U(BANDS) + number
 
 
 def key_of(text: str) -> Column:
@@ -134,46 +145,82 @@ def _bands(signed: DataFrame) -> DataFrame:
     return signed.select("key", "signature").mapInArrow(run, "bucket long, key long")
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of keys that share a bucket and whose signatures agree enough."""
+def _members(signed: DataFrame) -> DataFrame:
+    """(bucket, n, key) of the buckets of two texts and more, each set of members once: in the first band that gathers it."""
     mixed = F.xxhash64("key")
     buckets = _bands(signed).groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64(mixed)).alias("y")
     )
-    # One bucket of those with the same members.
-    once = buckets.where((F.col("n") > 1) & (F.col("low") < F.col("high"))).groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket"))
-    members = _bands(signed).join(once.select("bucket", "n"), "bucket").join(signed.select("key", "weight", "signature"), "key")
-    # Blocks g and h of a bucket meet in the task of (bucket, g, h), g <= h.
+    banded = F.struct(F.pmod("bucket", F.lit(BANDS)).alias("band"), "bucket")
+    once = buckets.where(F.col("low") < F.col("high")).groupBy("n", "low", "high", "x", "y").agg(F.min(banded).alias("b")).select("b.bucket", "n")
+    return _bands(signed).join(_small(once), "bucket").select("bucket", "n", "key")
+
+
+def _agreeing(i: int, other: np.ndarray, weights: np.ndarray, s: np.ndarray, least: float) -> np.ndarray:
+    near = other[np.minimum(weights[other], weights[i]) >= SIMILARITY * np.maximum(weights[other], weights[i])]
+    return near[(s[near] == s[i]).mean(axis=1) >= least]
+
+
+def _stars(keys: np.ndarray, weights: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that are likely links and connect what they can: the text with most neighbours takes these, and so on."""
+    near = [_agreeing(i, np.arange(len(keys)), weights, s, LIKELY) for i in range(len(keys))]
+    out, free = [], np.ones(len(keys), bool)
+    for i in sorted(range(len(keys)), key=lambda i: (-len(near[i]), keys[i])):
+        if free[i]:
+            mine = near[i][free[near[i]]]
+            out += [(i, j) for j in mine if j != i]
+            free[mine] = False
+    return out
+
+
+def _across(mine: np.ndarray, g: int, h: int, band: int, keys: np.ndarray, weights: np.ndarray, s: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs of texts in different components that may be links and meet in this band first."""
+    left, right = np.flatnonzero(mine == g), np.flatnonzero(mine == h)
+    out = []
+    for i in left:
+        other = right[roots[right] != roots[i]]
+        found = _agreeing(i, other[keys[other] > keys[i]] if g == h else other, weights, s, CANDIDATE)
+        if len(found):
+            shared = (s[found] == s[i])[:, _BAND_AT].all(axis=2)
+            out += [(i, j) for j in found[shared.argmax(axis=1) == band]]
+    return out
+
+
+def _candidates(members: DataFrame, signed: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b), a < b: likely links; or, given roots, every pair of texts with different roots that may be a link.
+
+    A bucket of over BLOCK members is cut into blocks by hash. Stars are looked for within blocks; for all pairs, every
+    two blocks g <= h of a bucket meet in the task of (bucket, g, h).
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")
-    with_all = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
-    placed = members.select("bucket", "key", "weight", "signature", mine.alias("mine"), F.explode(with_all).alias("at")).select(
-        "bucket", "at.g", "at.h", "mine", "key", "weight", "signature"
-    )
+    mine = F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int")
+    if roots is None:
+        rooted = members.withColumn("root", F.col("key"))
+        at = F.array(F.struct(mine.alias("g"), mine.alias("h")))
+    else:
+        rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        rooted = rooted.join(open_, "bucket", "left_semi")
+        at = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
+    placed = rooted.join(signed.select("key", "weight", "signature"), "key").select("bucket", mine.alias("mine"), F.explode(at).alias("at"), "key", "weight", "signature", "root")
+    placed = placed.select("bucket", "at.g", "at.h", "mine", "key", "weight", "signature", "root")
+    stars = roots is None
 
     def run(batches):
         import pyarrow as pa
 
         def compare(rows):
-            where, mine, keys, weights, s = zip(*rows, strict=True)
-            mine, keys, weights = np.array(mine), np.array(keys, np.int64), np.array(weights, np.float64)
+            where, mine, keys, weights, s, roots = zip(*rows, strict=True)
+            keys, weights = np.array(keys, np.int64), np.array(weights, np.float64)
             s = np.frombuffer(b"".join(s), np.uint16).reshape(-1, COORDINATES)
-            _, g, h = where[0]
-            left, right = np.flatnonzero(mine == g), np.flatnonzero(mine == h)
-            out_a, out_b = [], []
-            for i in left:
-                other = right[keys[right] > keys[i]] if g == h else right
-                same = (s[other] == s[i]).mean(axis=1) >= CANDIDATE
-                near = np.minimum(weights[other], weights[i]) >= SIMILARITY * np.maximum(weights[other], weights[i])
-                found = keys[other[same & near]]
-                out_a.append(np.minimum(found, keys[i]))
-                out_b.append(np.maximum(found, keys[i]))
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            bucket, g, h = where[0]
+            pairs = _stars(keys, weights, s) if stars else _across(np.array(mine), g, h, bucket % BANDS, keys, weights, s, np.array(roots, np.int64))
+            ends = keys[np.array(pairs, np.int64).reshape(-1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
 
         held: list = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "g", "h", "mine", "key", "weight", "signature")]
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "g", "h", "mine", "key", "weight", "signature", "root")]
             for b, g, h, *rest in zip(*cols, strict=True):
                 if held and held[0][0] != (b, g, h):
                     yield compare(held)
@@ -225,29 +272,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """key, first (smallest id with the text), class_id and links (to other texts) of each distinct text with words."""
+    """key, first (smallest id with the text) and class_id of each distinct text with words."""
     signed = written(_distinct(docs, text, doc_id), "signatures")
-    pairs = written(_candidates(signed), "candidates")
-    links = written(_verified(pairs, docs, text), "verified")
-    drop_written(pairs)
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    linked = roots.join(degree, "key").join(signed.select("key", "first"), "key")
+    members = written(_members(signed), "members")
+    likely = written(_candidates(members, signed, None), "likely")
+    links = written(_verified(likely, docs, text), "verified")
+    others = _candidates(members, signed, components(links)).join(likely, ["a", "b"], "left_anti")
+    rest = written(_verified(written(others, "candidates"), docs, text), "verified")
+    linked = components(links.unionByName(rest)).join(signed.select("key", "first"), "key")
     lowest = linked.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = linked.join(lowest, "root").select("key", "class_id", "links")
-    return signed.select("key", "first").join(named, "key", "left").select(
-        "key", "first", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")
-    )
+    named = linked.join(lowest, "root").select("key", "class_id")
+    return signed.select("key", "first").join(named, "key", "left").select("key", "first", F.coalesce("class_id", "first").alias("class_id"))
 
 
 def with_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns (all by default) with class_id and links of every row."""
-    p = free_prefix([*docs.columns, "class_id", "links"])
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("class_id", "links")]
-    own = F.col(doc_id).cast("long")
-    of = classes(docs, text, doc_id).select(F.col("key").alias(f"{p}key"), "class_id", "links")
-    rows = docs.select(*[docs[c] for c in kept], own.alias(f"{p}id"), key_of(text).alias(f"{p}key"))
-    return rows.join(of, f"{p}key", "left").select(*kept, F.coalesce("class_id", F.col(f"{p}id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    """The kept columns (all by default) with the class_id of every row."""
+    p = free_prefix([*docs.columns, "class_id"])
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "class_id"]
+    of = classes(docs, text, doc_id).select(F.col("key").alias(f"{p}key"), "class_id")
+    rows = docs.select(*[docs[c] for c in kept], F.col(doc_id).cast("long").alias(f"{p}id"), key_of(text).alias(f"{p}key"))
+    return rows.join(of, f"{p}key", "left").select(*kept, F.coalesce("class_id", F.col(f"{p}id")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

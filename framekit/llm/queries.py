@@ -114,7 +114,7 @@ def _fold(n: int) -> Column:
 
 @_query()
 def op5_near_dup(spark, d):
-    """Every document with the id of its class of near copies and its text's number of links."""
+    """Every document with the id of its class of near copies, the smallest document id in it."""
     return near_dup.with_classes(table(spark, d, "documents"), keep=("doc_id",))
 
 
