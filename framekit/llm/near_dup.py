@@ -10,8 +10,9 @@ over sum of maxima, is at least 0.8. A class is a connected component of links.
 3. First, likely links: in a bucket, the text whose signature agrees with most others is paired with those, and so
    on: fewer pairs than members. Their texts are fetched and compared exactly, and the links joined to components.
 4. Then all the rest: every pair of a bucket that lies in different components and whose signatures' agreement is within 3.5
-   standard deviations of 0.8, once in the first band that it shares, is compared exactly too. A large bucket is cut into blocks that meet
-   pairwise in different tasks, so no task holds more than two blocks and only candidates leave it.
+   standard deviations of 0.8, once in the first band that it shares, is compared exactly too: in small buckets like the likely
+   ones, in large ones where they meet, with the texts at hand. A large bucket is cut into blocks that meet
+   pairwise in different tasks, so no task holds more than two blocks and only links leave it.
 5. Links are joined to classes by label propagation with pointer jumping, each round written to the shared folder.
 
 A pair at similarity 0.8 is missed with a probability of about 3 in 10,000, at 0.85 of 1 in a million.
@@ -42,6 +43,8 @@ _DEVIATION = (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 CANDIDATE, LIKELY = SIMILARITY - 3.5 * _DEVIATION, SIMILARITY - 0.5 * _DEVIATION
 #: Members of a block of a large bucket; keys that are broadcast to fetch texts (8 bytes each).
 BLOCK, BROADCAST_KEYS = 256, 1_000_000
+#: In buckets of more members, pairs are compared where they meet, so that their number reaches no shuffle.
+MANY = 2
 _CACHE = 300_000
 _NOT_WORD = re.compile(r"[\W_]+")
 _U = np.uint64
@@ -186,10 +189,10 @@ def _across(mine: np.ndarray, g: int, h: int, band: int, keys: np.ndarray, weigh
     return out
 
 
-def _candidates(members: DataFrame, signed: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _candidates(members: DataFrame, signed: DataFrame, roots: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: likely links; or, given roots, every pair of texts with different roots that may be a link.
 
-    A bucket of over BLOCK members is cut into blocks by hash. Stars are looked for within blocks; for all pairs, every
+    Given the members' texts too, these pairs are compared exactly where they meet, and only links come out. A bucket of over BLOCK members is cut into blocks by hash. Stars are looked for within blocks; for all pairs, every
     two blocks g <= h of a bucket meet in the task of (bucket, g, h).
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -202,25 +205,33 @@ def _candidates(members: DataFrame, signed: DataFrame, roots: DataFrame | None)
         open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
         rooted = rooted.join(open_, "bucket", "left_semi")
         at = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
-    placed = rooted.join(signed.select("key", "weight", "signature"), "key").select("bucket", mine.alias("mine"), F.explode(at).alias("at"), "key", "weight", "signature", "root")
-    placed = placed.select("bucket", "at.g", "at.h", "mine", "key", "weight", "signature", "root")
-    stars = roots is None
+    signs = signed.select("key", "weight", "signature")
+    rooted = rooted.join(signs, "key") if texts is None else rooted.join(signs, "key").join(texts, "key")
+    data = ["key", "weight", "signature", "root", *(["text"] if texts is not None else [])]
+    placed = rooted.select("bucket", mine.alias("mine"), F.explode(at).alias("at"), *data).select("bucket", "at.g", "at.h", "mine", *data)
+    stars, exact = roots is None, texts is not None
 
     def run(batches):
         import pyarrow as pa
 
+        known = WordHashes()
+
         def compare(rows):
-            where, mine, keys, weights, s, roots = zip(*rows, strict=True)
+            where, mine, keys, weights, s, roots, *text = zip(*rows, strict=True)
             keys, weights = np.array(keys, np.int64), np.array(weights, np.float64)
             s = np.frombuffer(b"".join(s), np.uint16).reshape(-1, COORDINATES)
             bucket, g, h = where[0]
             pairs = _stars(keys, weights, s) if stars else _across(np.array(mine), g, h, bucket % BANDS, keys, weights, s, np.array(roots, np.int64))
+            if exact:
+                sets: dict = {}
+                of = lambda i: sets.get(i) or sets.setdefault(i, shingles(text[0][i], known))
+                pairs = [(i, j) for i, j in pairs if weighted_jaccard(of(i), of(j)) >= SIMILARITY]
             ends = keys[np.array(pairs, np.int64).reshape(-1, 2)]
             return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
 
         held: list = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "g", "h", "mine", "key", "weight", "signature", "root")]
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "g", "h", "mine", *data)]
             for b, g, h, *rest in zip(*cols, strict=True):
                 if held and held[0][0] != (b, g, h):
                     yield compare(held)
@@ -233,12 +244,15 @@ def _candidates(members: DataFrame, signed: DataFrame, roots: DataFrame | None)
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """(key, text) of the distinct keys of a table with the column ``key``."""
+    found = docs.select(key_of(text).alias("key"), F.col(text).alias("text")).join(_small(keys.select("key").distinct()), "key", "left_semi")
+    return found.groupBy("key").agg(F.min("text").alias("text"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs whose texts are similar enough, with their similarity."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = F.broadcast(needed) if pairs.count() * 2 <= BROADCAST_KEYS else needed
-    texts = docs.select(key_of(text).alias("key"), F.col(text).alias("text")).join(needed, "key", "left_semi")
-    texts = texts.groupBy("key").agg(F.min("text").alias("text"))
+    """The pairs whose texts are similar enough."""
+    texts = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("key")))
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -247,10 +261,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             sims = [weighted_jaccard(shingles(x, known), shingles(y, known)) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
-            found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+            found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
             yield found.filter(pa.array([s >= SIMILARITY for s in sims], pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,9 +291,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     members = written(_members(signed), "members")
     likely = written(_candidates(members, signed, None), "likely")
     links = written(_verified(likely, docs, text), "verified")
-    others = _candidates(members, signed, components(links)).join(likely, ["a", "b"], "left_anti")
+    roots = components(links)
+    few, many = members.where(F.col("n") <= MANY), members.where(F.col("n") > MANY)
+    others = _candidates(few, signed, roots).join(likely, ["a", "b"], "left_anti")
     rest = written(_verified(written(others, "candidates"), docs, text), "verified")
-    linked = components(links.unionByName(rest)).join(signed.select("key", "first"), "key")
+    within = written(_candidates(many, signed, roots, _texts(docs, text, many)), "within")
+    linked = components(links.unionByName(rest).unionByName(within)).join(signed.select("key", "first"), "key")
     lowest = linked.groupBy("root").agg(F.min("first").alias("class_id"))
     named = linked.join(lowest, "root").select("key", "class_id")
     return signed.select("key", "first").join(named, "key", "left").select("key", "first", F.coalesce("class_id", "first").alias("class_id"))
