@@ -160,7 +160,9 @@ def op10_pii(spark, d):
     found = pii.find(docs, pii.train(docs)).select("doc_id", "spans")
     written_as = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    # A second parameter of the function would be the place in the array, so the kind is bound outside.
+    is_kind = lambda kind: lambda s: s["kind"] == F.lit(kind)
+    counts = [F.size(F.filter(base, is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(written_as(base), 256).alias("base_sha256"), written_as(F.col("spans")).alias("spans"))
 
 
