@@ -66,9 +66,16 @@ def bucket_count(df: DataFrame) -> int:
     return max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns that a hash can be taken of."""
+    return [df[f"`{f.name.replace('`', '``')}`"] for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+
+
 def hashed_sample(df: DataFrame, keys: Sequence[str | Column], n: int) -> DataFrame:
     """At most ``n`` rows, those with the smallest hashes of the keys: the same rows whatever the partitioning.
 
+    Keys should tell rows apart: rows with equal keys come or stay away together.
+
     A first cut by hash keeps what reaches the last task in proportion to ``n``, not to the table.
     """
     mark = free_prefix(df.columns) + "hash"

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framekit.llm.common import hashed_sample
+from framekit.llm.common import hashable, hashed_sample
 
 UNDETERMINED = "und"
 BUCKETS, WIDTH = 1 << 15, 16
@@ -199,7 +199,9 @@ def fit(examples: Sequence[tuple[list[str], str]], seed: int = 7) -> LanguageMod
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Fit on a bounded sample of rows with a language; the words are cut out on the executors."""
-    some = hashed_sample(docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang), [text, lang], sample_docs)
+    # By whole rows: a text with very many copies counts by its share and cannot fill the sample.
+    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    some = hashed_sample(labelled, hashable(labelled), sample_docs).select(text, lang)
 
     def cut(batches):
         import pyarrow as pa

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import hashed_sample
+from framekit.llm.common import hashable, hashed_sample
 from framekit.names import free_prefix
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -218,7 +218,8 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["pattern", "at", "x"])
 
-    some = hashed_sample(docs.where(F.col(text).isNotNull()).select(text), [text], sample_docs).select(_binary(text).alias("t"))
+    # By whole rows: a text with very many copies counts by its share and cannot fill the sample.
+    some = hashed_sample(docs.where(F.col(text).isNotNull()), hashable(docs), sample_docs).select(_binary(text).alias("t"))
     rows = some.mapInArrow(run, "pattern long, at array<int>, x array<float>").toPandas()
     rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["pattern"][i], rows["at"][i].tobytes() if hasattr(rows["at"][i], "tobytes") else str(rows["at"][i])))]
     p = labels.posterior(rows["pattern"].to_numpy()) if len(rows) else np.zeros(0)
