@@ -30,7 +30,7 @@ GOOD, BAD, ABSTAIN = 1, 0, 2
 #: Documents that train the scorer, and the scorer's hashed features.
 SAMPLE_DOCS, FEATURES = 5000, 1 << 12
 KEEP_FROM = 0.5
-_CACHE = 200_000
+_CACHE = 100_000
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
