@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     found: list[Span] = [("email", *s) for s in _emails(text)]
     for part in _DOTTED.finditer(text):
         if part[0].count(".") >= 3:
-            found += [("ip", *m.span()) for m in _IP.finditer(text, *part.span()) if all(len(o.lstrip("0")) <= 3 and int(o) <= 255 for o in m[0].split("."))]
+            found += [("ip", *m.span()) for m in _IP.finditer(text, *part.span()) if all(len(o := x.lstrip("0")) <= 3 and int(o or 0) <= 255 for x in m[0].split("."))]
     found += [("card", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
@@ -164,10 +165,34 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
-def _label(text: str, span: Span, base: list[Span]) -> float | None:
+class _Taken:
+    """Spans as sorted intervals that do not overlap."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self._at: list[tuple[int, int]] = []
+        for s, e in sorted(spans):
+            if self._at and s < self._at[-1][1]:
+                self._at[-1] = (self._at[-1][0], max(e, self._at[-1][1]))
+            else:
+                self._at.append((s, e))
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self._at, (start, end))
+        return (i == 0 or self._at[i - 1][1] <= start) and (i == len(self._at) or end <= self._at[i][0])
+
+    def take(self, start: int, end: int) -> None:
+        insort(self._at, (start, end))
+
+    def nests(self, start: int, end: int) -> bool:
+        """Whether an interval lies in the span or the span in one."""
+        i = bisect_left(self._at, (start,))
+        return (i > 0 and self._at[i - 1][1] >= end) or (i < len(self._at) and (self._at[i][0] == start or self._at[i][1] <= end))
+
+
+def _label(text: str, span: Span, base: dict[str, _Taken]) -> float | None:
     """1: a base span of the kind lies in it or it in one; 0: not even its canonical form has one; else unknown."""
     kind, start, end = span
-    if any(k == kind and s <= start and end <= e or k == kind and start <= s and e <= end for k, s, e in base):
+    if base[kind].nests(start, end):
         return 1.0
     plain = canonical(kind, text[start:end])
     tries = [plain, "+" + plain.lstrip("+ ")] if kind == "phone" else [plain]
@@ -206,17 +231,16 @@ class PiiModel:
     thresholds: dict[str, float]
 
     def added(self, text: str, base: list[Span]) -> list[tuple[Span, float]]:
-        taken = [(s, e) for _, s, e in base]
-        free = lambda s, e: all(e <= a or b <= s for a, b in taken)
-        new = [c for c in candidates(text) if free(c[1], c[2]) and _valid(c[0], text[c[1] : c[2]])]
+        taken = _Taken([(s, e) for _, s, e in base])
+        new = [c for c in candidates(text) if taken.free(c[1], c[2]) and _valid(c[0], text[c[1] : c[2]])]
         if self.trees is None or not new:
             return []
         p = self.trees.probability(np.array([features(text, c) for c in new]))
         out = []
         for i in sorted(range(len(new)), key=lambda i: (-p[i], new[i])):
             kind, s, e = new[i]
-            if p[i] >= self.thresholds[kind] and free(s, e):
-                taken.append((s, e))
+            if p[i] >= self.thresholds[kind] and taken.free(s, e):
+                taken.take(s, e)
                 out.append((new[i], float(p[i])))
         return out
 
@@ -240,7 +264,8 @@ def _training_rows(docs: DataFrame, text: str) -> DataFrame:
             rows = []
             for t in batch.column(0).to_pylist():
                 base = base_spans(t)
-                labelled = [(t, c, _label(t, c, base)) for c in candidates(t)]
+                own_kind = {k: _Taken([(s, e) for x, s, e in base if x == k]) for k in KINDS}
+                labelled = [(t, c, _label(t, c, own_kind)) for c in candidates(t)]
                 for kind, s, e in base:
                     if hidden := _disguised(kind, t[s:e]):
                         lo = max(0, s - 40)

@@ -294,6 +294,28 @@ def test_base_spans_on_random_strings():
         assert pii.base_spans(t) == brute_spans(t), t
     assert pii.luhn("4316522678525456") and not pii.luhn("4316522678525457")
     assert pii.base_spans("1" * 200_000 + "." * 1000) == [] and len(pii.base_spans("a@" * 100_000 + "b.c")) == 1
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}") == [("ip", 0, 10_006)]
+
+
+def test_taken_spans_against_brute_force():
+    rng = random.Random(8)
+    some = lambda n: [(s, s + rng.randrange(1, 6)) for s in (rng.randrange(40) for _ in range(n))]
+    for _ in range(500):
+        spans = some(rng.randrange(6))
+        taken = pii._Taken(spans)
+        for s, e in some(20):
+            fits = all(e <= a or b <= s for a, b in spans)
+            assert taken.free(s, e) == fits
+            if fits and rng.random() < 0.3:
+                taken.take(s, e)
+                spans.append((s, e))
+        apart = []
+        for a, b in some(8):
+            if all(b <= x or y <= a for x, y in apart):
+                apart.append((a, b))
+        taken = pii._Taken(apart)
+        assert all(taken.nests(s, e) == any(a <= s and e <= b or s <= a and b <= e for a, b in apart) for s, e in some(20))
 
 
 def test_pii_query(spark, rows):
