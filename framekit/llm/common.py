@@ -84,3 +84,23 @@ def hashed_sample(df: DataFrame, keys: Sequence[str | Column], n: int) -> DataFr
     if share < 1:
         hashed = hashed.where(F.col(mark) < int(-(2**63) + share * 2**64))
     return hashed.orderBy(mark).limit(n).drop(mark)
+
+
+def sample_in_place(df: DataFrame, keys: Sequence[str | Column], n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of the keys, each read in its own task.
+
+    Only hashes meet in one task, ``n`` + 1 from each, so wide rows may be drawn from a table of any size. Rows with equal
+    keys come or stay away together; where one such group has over ``n`` rows and the smallest hash, ``n`` of it come.
+    """
+    rows = df.count()
+    if rows <= n:
+        return df
+    mark = free_prefix(df.columns) + "hash"
+    hashed = df.withColumn(mark, F.xxhash64(*keys))
+    cut = hashed.where(F.col(mark) < int(-(2**63) + min(1.0, 4.0 * n / rows) * 2**64)) if rows > 4 * n else hashed
+    low, high, found = cut.select(mark).orderBy(mark).limit(n + 1).agg(F.min(mark), F.max(mark), F.count("*")).first()
+    if found <= n:
+        return cut.drop(mark)
+    if low == high:
+        return hashed.where(F.col(mark) == low).limit(n).drop(mark)
+    return hashed.where(F.col(mark) < high).drop(mark)

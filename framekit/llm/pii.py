@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framekit.llm.boosting import BoostedTrees
-from framekit.llm.common import hashable, hashed_sample
+from framekit.llm.common import drop_written, hashable, hashed_sample, sample_in_place, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that training may read, and candidates it needs.
@@ -283,7 +283,9 @@ def _training_rows(docs: DataFrame, text: str) -> DataFrame:
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> PiiModel:
     some = docs.where(F.col(text).rlike(r"[0-9@]|[\[({]\s?[aA][tT]\s?[\])}]"))
     # By whole rows, so that a text with very many copies cannot fill the sample. At most sample_docs documents; a document's candidates are fewer than its characters over seven.
-    rows = sorted(tuple(r) for r in hashed_sample(_training_rows(hashed_sample(some, hashable(some), sample_docs).select(text), text), ["hash", "x"], 10 * sample_docs).collect())
+    found = written(_training_rows(sample_in_place(some, hashable(some), sample_docs).select(text), text), "candidates")
+    rows = sorted(tuple(r) for r in hashed_sample(found, ["hash", "x"], 10 * sample_docs).collect())
+    drop_written(found)
     y = np.array([r[2] for r in rows])
     if len(rows) < LEAST_CANDIDATES or y.min() == y.max():
         return PiiModel(None, {})

@@ -12,7 +12,7 @@ import pytest
 from oracle import DATA, compare
 from pyspark.sql import functions as F
 
-from framekit.llm import decontaminate, language_id, lm_score, mixing, pii, quality, queries, sharding, topk, url_rules
+from framekit.llm import common, decontaminate, language_id, lm_score, mixing, pii, quality, queries, sharding, topk, url_rules
 
 Q = queries.queries()
 LONG = "word and more words " * 30_000
@@ -273,6 +273,20 @@ def test_top_k_against_brute_force(spark):
     assert [(r.vec_id, r.score) for r in topk.top_k(large, F.col("vec_id") == 1).orderBy("rank").collect()] == [(2, 2**16 * (2 * 10**12 + 3)), (3, -(2**16) * 10**12)]
 
 
+# ---- samples
+
+
+def test_sample_in_place_draws_the_smallest_hashes(spark):
+    df = spark.range(5000).withColumn("_hash", F.lit("old")).repartition(7)
+    for n in (0, 1, 40, 3000, 5000, 6000):
+        want = [r.id for r in df.orderBy(F.xxhash64("id")).limit(n).collect()]
+        got = common.sample_in_place(df, ["id"], n)
+        assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+    same = spark.range(100).select(F.lit(1).alias("id"))
+    assert common.sample_in_place(same, ["id"], 10).count() == 10
+    assert common.sample_in_place(df.limit(0), ["id"], 10).count() == 0
+
+
 # ---- personal data
 
 _PATTERNS = {
