@@ -218,6 +218,45 @@ def test_lm_small_head_and_odd_rows(spark, odd, docs, rows, monkeypatch):
     assert lm_score.score(some.limit(0), model, head, counts, keep=["doc_id"]).count() == 0
 
 
+def test_lm_gives_every_training_word_a_class(spark, monkeypatch):
+    # Nouns and verbs in turn, all of one shape, no two rare ones together; four words are clustered on the driver, ten are in the head.
+    monkeypatch.setattr(lm_score, "UNITS", 4)
+    monkeypatch.setattr(lm_score, "HEAD", 10)
+    rng = random.Random(9)
+    word = lambda i: "nv"[i % 2] + (str(rng.randrange(30)) if i % 6 in (2, 5) else rng.choice("ab"))
+    texts = [" ".join(word(i) for i in range(24)) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model, head, rare = lm_score.fit(df)
+    classes = {w: int(c) for (w, _), c in zip(head, model.head_class, strict=True)} | {bytes(r.word): r["class"] for r in rare.collect()}
+    count = Counter(w for t in texts for w in t.encode().split())
+    assert set(classes) == set(count) and len(head) <= 10
+    nouns, verbs = ({c for w, c in classes.items() if w[:1] == x} for x in (b"n", b"v"))
+    assert not nouns & verbs
+    # The score, from the classes alone: joint class counts smoothed, and each word's share of its class.
+    end, k = int(model.unit_class[-1]), len(model.step)
+    joint = np.zeros((k, k))
+    for t in texts:
+        seq = [end, *(classes[w] for w in t.encode().split()), end]
+        np.add.at(joint, (seq[:-1], seq[1:]), 1)
+    some = ["na v1 n2 new", "nothing", "", texts[0]]
+    follow = np.maximum((joint > 0).sum(axis=1), 1)
+    step = np.log10((joint + follow[:, None] * ((joint.sum(axis=0) + 1) / (joint.sum() + k))) / (joint.sum(axis=1) + follow)[:, None])
+    units = {w for w, _ in head[:4]}
+    inside = Counter()
+    for w, c in count.items():
+        inside[classes[w]] += c + 0.5 * (w in units)
+    for s in model.shape_class:
+        inside[int(s)] += 0.5
+    for r in lm_score.score(spark.createDataFrame([(t,) for t in some], "text string"), model, head, rare, keep=["text"]).collect():
+        seq, want = [end], 0.0
+        for w in r.text.encode().split():
+            cls = classes.get(w, int(model.shape_class[lm_score.shape_of(w)]))
+            want += math.log10((count[w] + 0.5 * (w in units or w not in count)) / inside[cls])
+            seq.append(cls)
+        seq.append(end)
+        assert r.score == pytest.approx(want + step[seq[:-1], seq[1:]].sum(), rel=1e-9)
+
+
 def test_exchange_separates_alternating_units():
     n = np.zeros((9, 9))
     for a in range(4):
