@@ -4,7 +4,8 @@ Two fixed masks look at six of the tokens under them and ignore the rest. Hashes
 every place of every training text meet those of the benchmark in a join; around each hit the texts are
 aligned and compared token by token. An overlap is a run of ``WINDOW`` aligned tokens of which
 at most ``SUBSTITUTIONS`` differ (all of a shorter item: one of its tokens in six may differ). For each way to place two
-substitutions in thirteen tokens one of the masks has a place that avoids them, so no such overlap is missed.
+substitutions in thirteen tokens one of the masks has a place that avoids them, so no such overlap is missed. In twelve tokens
+eight ways are left over; a third mask over the whole item avoids these. It is used only if the benchmark has items of twelve.
 
 A bitmap of the benchmark's hashes, at most ``MAX_WORDS`` longs whatever the benchmark's size, lets
 a text's places be tested where they are hashed: only hits leave the text, each with the hashes of
@@ -24,12 +25,16 @@ from framekit.names import free_prefix
 
 #: Places that the masks look at.
 MASKS = ((0, 3, 5, 6, 8, 9), (0, 1, 3, 4, 7, 10))
+#: By the length of an item: places of a mask over the whole of it, for what the others have no place for.
+WHOLE = {12: (0, 2, 3, 6, 9, 11)}
 WINDOW, SUBSTITUTIONS = 13, 2
 SHORTEST = max(m[-1] for m in MASKS) + 1
 BROADCAST_ROWS, MAX_WORDS = 100_000, 1 << 15
 #: Tokens before a hit's first one and in all that are compared.
 _BEFORE = WINDOW - 1
 _SPAN = _BEFORE + SHORTEST + WINDOW - 1
+#: The number of a whole item's mask is this and its length.
+_FIRST_WHOLE = 100
 
 
 def token_hashes(text: Column) -> Column:
@@ -49,11 +54,11 @@ def _around(tokens: Column, at: Column) -> Column:
     return F.transform(F.sequence(F.lit(-_BEFORE), F.lit(_SPAN - _BEFORE - 1)), lambda o: F.get(tokens, at + o))
 
 
-def _hits(tokens: Column, keep) -> Column:
-    """Structs of the kept seeds of all masks: hash, tokens around. ``keep``: a test of the hash, or None for all."""
+def _hits(tokens: Column, masks: dict[int, tuple[int, ...]], keep) -> Column:
+    """Structs of the kept seeds of the masks, by number: hash, tokens around. ``keep``: a test of the hash, or None for all."""
     # The masks' seeds follow each other; a seed's number in the list gives back its place.
     firsts, before = [], F.lit(0)
-    for m in MASKS:
+    for m in masks.values():
         firsts.append(before)
         before = before + F.greatest(F.size(tokens) - m[-1], F.lit(0))
 
@@ -64,7 +69,7 @@ def _hits(tokens: Column, keep) -> Column:
         found = F.struct(h.alias("seed"), _around(tokens, place).alias("around"))
         return found if keep is None else F.when(keep(h), found)
 
-    return F.array_compact(F.transform(F.concat(*[_seeds(tokens, m, n) for n, m in enumerate(MASKS)]), hit))
+    return F.array_compact(F.transform(F.concat(*[_seeds(tokens, m, n) for n, m in masks.items()]), hit))
 
 
 def _once(value: Column, use) -> Column:
@@ -86,7 +91,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
     Adds text_hash, item_id, matched (equal tokens in the best window) and hits (seeds in overlaps).
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("tokens"))
-    items = items.where(F.size("tokens") >= SHORTEST).select("item_id", F.size("tokens").alias("length"), F.explode(_hits(F.col("tokens"), None)).alias("hit"))
+    items = items.withColumn("length", F.size("tokens"))
+    # Masks over whole items are looked for only in the lengths that the benchmark has.
+    lengths = [r["length"] for r in items.where(F.col("length").isin(list(WHOLE))).select("length").distinct().orderBy("length").collect()]
+    whole = {_FIRST_WHOLE + n: WHOLE[n] for n in lengths}
+    found_in = _hits(F.col("tokens"), dict(enumerate(MASKS)), None)
+    for n in lengths:
+        found_in = F.when(F.col("length") == n, F.concat(found_in, _hits(F.col("tokens"), {_FIRST_WHOLE + n: WHOLE[n]}, None))).otherwise(found_in)
+    items = items.select("item_id", "length", F.explode(found_in).alias("hit"))
     seeds = items.select("item_id", "length", F.col("hit.seed").alias("seed"), F.col("hit.around").alias("item_around"))
     n = seeds.count()
     words = min(MAX_WORDS, max(64, 1 << (max(n, 1)).bit_length()))
@@ -100,8 +112,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
         # Named once, so that the optimizer puts the scalar itself here instead of copying it into every row.
         return F.getbit(F.get(bitmap, F.shiftrightunsigned(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
 
+    masks = dict(enumerate(MASKS)) | whole
     found = docs.withColumn(bitmap, bits)
-    found = found.select(*keep, F.xxhash64(text).alias("text_hash"), F.explode(_once(token_hashes(F.col(text)), lambda t: _hits(t, marked))).alias(hit))
+    found = found.select(*keep, F.xxhash64(text).alias("text_hash"), F.explode(_once(token_hashes(F.col(text)), lambda t: _hits(t, masks, marked))).alias(hit))
     found = found.select(*keep, "text_hash", F.col(f"{hit}.seed").alias("seed"), F.col(f"{hit}.around").alias(around))
     found = found.join(F.broadcast(seeds) if n <= BROADCAST_ROWS else seeds, "seed")
     same = F.zip_with(around, "item_around", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))

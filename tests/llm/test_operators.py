@@ -1,6 +1,7 @@
 """Each operator against SQL or brute force, and on odd rows: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -176,6 +177,17 @@ def test_decontamination_tolerates_two_substitutions(spark, odd, monkeypatch, br
     assert decontaminate.overlaps(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize(("length", "places"), [(11, 1), (12, 2)])
+def test_decontamination_covers_short_windows(spark, length, places):
+    item = [f"b{i}" for i in range(length)]
+    ways = list(itertools.combinations(range(length), places))
+    texts = [" ".join(["one", "two", *("zzz" if i in way else w for i, w in enumerate(item)), "three"]) for way in ways]
+    over = " ".join("zzz" if i in range(0, 2 * places + 2, 2) else w for i, w in enumerate(item))
+    df = spark.createDataFrame(list(enumerate([*texts, over, " ".join(item)])), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"c{i}" for i in range(20)))], "item_id long, text string")
+    assert {r.doc_id: r.matched for r in decontaminate.overlaps(df, bench).collect()} == {**{i: length - places for i in range(len(ways))}, len(ways) + 1: length}
+
+
 # ---- language model
 
 
