@@ -3,9 +3,10 @@
 Two fixed masks look at six of the tokens under them and ignore the rest. Hashes of the masked tokens at
 every place of every training text meet those of the benchmark in a join; around each hit the texts are
 aligned and compared token by token. An overlap is a run of ``WINDOW`` aligned tokens of which
-at most ``SUBSTITUTIONS`` differ (all of a shorter item: one of its tokens in six may differ). For each way to place two
+at most ``SUBSTITUTIONS`` differ (all of a shorter item: of 12 tokens 2, of 11 one may differ, of fewer none). For each way to place two
 substitutions in thirteen tokens one of the masks has a place that avoids them, so no such overlap is missed. In twelve tokens
-eight ways are left over; a third mask over the whole item avoids these. It is used only if the benchmark has items of twelve.
+eight ways are left over; a third mask over the whole item avoids these. Items of fewer than ``SHORTEST`` tokens must occur as they
+are: a mask looks at all their tokens. These masks are used only for lengths that the benchmark has.
 
 A bitmap of the benchmark's hashes, at most ``MAX_WORDS`` longs whatever the benchmark's size, lets
 a text's places be tested where they are hashed: only hits leave the text, each with the hashes of
@@ -13,7 +14,7 @@ the few tokens around it. If the bitmap fills up, more places go to the join; th
 benchmark's side is broadcast up to ``BROADCAST_ROWS`` rows of fixed width, else shuffled.
 
 Tokens are runs of letters and digits, lower-cased. Defined results: null and empty texts overlap
-nothing, nor do items of fewer than ``SHORTEST`` tokens. Equal texts get equal verdicts. Null ids are ids like others.
+nothing, nor do items without a token. Equal texts get equal verdicts. Null ids are ids like others.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from framekit.names import free_prefix
 
 #: Places that the masks look at.
 MASKS = ((0, 3, 5, 6, 8, 9), (0, 1, 3, 4, 7, 10))
-#: By the length of an item: places of a mask over the whole of it, for what the others have no place for.
-WHOLE = {12: (0, 2, 3, 6, 9, 11)}
 WINDOW, SUBSTITUTIONS = 13, 2
 SHORTEST = max(m[-1] for m in MASKS) + 1
+#: By the length of an item: places of a mask over the whole of it, for what the others have no place for.
+WHOLE = {**{n: tuple(range(n)) for n in range(1, SHORTEST)}, 12: (0, 2, 3, 6, 9, 11)}
 BROADCAST_ROWS, MAX_WORDS = 100_000, 1 << 15
 #: Tokens before a hit's first one and in all that are compared.
 _BEFORE = WINDOW - 1
@@ -123,7 +124,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tu
         F.transform(F.sequence(F.lit(1), F.lit(_SPAN - WINDOW + 1)), lambda s: F.aggregate(F.slice("same", s, WINDOW), F.lit(0), lambda a, b: a + b))
     )
     checked = found.select(*keep, "text_hash", "item_id", "length", same.alias("same")).select(*keep, "text_hash", "item_id", window.alias("window"), best.alias("matched"))
-    allowed = F.least(F.lit(SUBSTITUTIONS), F.floor(F.col("window") / 6)).cast("int")
+    allowed = F.when(F.col("window") < SHORTEST, 0).otherwise(F.least(F.lit(SUBSTITUTIONS), F.floor(F.col("window") / 6))).cast("int")
     right = checked.where(F.col("matched") >= F.col("window") - allowed)
     return right.groupBy(*keep, "text_hash", "item_id").agg(F.max("matched").alias("matched"), F.count("*").alias("hits"))
 

@@ -188,6 +188,17 @@ def test_decontamination_covers_short_windows(spark, length, places):
     assert {r.doc_id: r.matched for r in decontaminate.overlaps(df, bench).collect()} == {**{i: length - places for i in range(len(ways))}, len(ways) + 1: length}
 
 
+def test_decontamination_finds_short_items_whole(spark):
+    items = [" ".join(f"i{n}x{k}" for k in range(n)) for n in range(1, 11)]
+    odd = lambda t: " ".join([*t.split()[:-1], "zzz"])
+    docs = [f"before it {t.upper()}, behind" for t in items] + list(items) + [f"before {odd(t)} {t.split()[-1]}" for t in items[1:]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, "..."), (51, None)], "item_id long, text string")
+    want = {(d, d % 10, d % 10 + 1) for d in range(20)}
+    assert {(r.doc_id, r.item_id, r.matched) for r in decontaminate.overlaps(df, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.decontaminated(df, bench).collect()} == set(range(20, 29))
+
+
 # ---- language model
 
 
