@@ -5,17 +5,18 @@ being how often a run occurs; texts are linked if their weighted Jaccard similar
 over sum of maxima, is at least 0.8. A class is a connected component of links.
 
 1. Equal texts are one from the start: everything below is per distinct text, keyed by a 64-bit hash.
-2. Every distinct text gets a DartMinHash signature and 64 bands of 8 coordinates. Texts that agree in all of a band's meet in
+2. Every distinct text gets a DartMinHash signature and 96 bands of 8 coordinates. Texts that agree in all of a band's meet in
    a bucket; buckets with the same members count once (a count and sums tell, so no list is built).
 3. First, likely links: in a bucket, the text whose signature agrees with most others is paired with those, and so
    on: fewer pairs than members. Their texts are fetched and compared exactly, and the links joined to components.
-4. Then all the rest: every pair of a bucket that lies in different components and whose signatures' agreement is within 3.5
+4. Then all the rest: every pair of a bucket that lies in different components and whose signatures' agreement is within 4
    standard deviations of 0.8, once in the first band that it shares, is compared exactly too: in small buckets like the likely
    ones, in large ones where they meet, with the texts at hand. A large bucket is cut into blocks that meet
    pairwise in different tasks, so no task holds more than two blocks and only links leave it.
 5. Links are joined to classes by rounds of contraction, each written to the shared folder.
 
-A pair at similarity 0.8 is missed with a probability of about 3 in 10,000, at 0.85 of 1 in a million.
+A pair at similarity 0.8 is missed with a probability of about 2 in 10,000, at 0.82 of 3 in 100,000, at 0.85 of 1 in a million
+(simulated with these bands and independent coordinates).
 
 Defined results: null texts and texts without a word have no links and no copies: each is its own class. Texts of one
 to four words have a single run, the whole text. The class id is the smallest document id in it; null ids count
@@ -37,10 +38,10 @@ from framekit.llm.dart_minhash import COORDINATES, mix, signature
 from framekit.names import free_prefix
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, BAND_SIZE = 64, 8
+BANDS, BAND_SIZE = 96, 8
 #: Least agreement of the signatures of a candidate, and of a likely link.
 _DEVIATION = (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
-CANDIDATE, LIKELY = SIMILARITY - 3.5 * _DEVIATION, SIMILARITY - 0.5 * _DEVIATION
+CANDIDATE, LIKELY = SIMILARITY - 4 * _DEVIATION, SIMILARITY - 0.5 * _DEVIATION
 #: Members of a block of a large bucket; keys that are broadcast to fetch texts (8 bytes each).
 BLOCK, BROADCAST_KEYS = 256, 1_000_000
 #: In buckets of more members, pairs are compared where they meet, so that their number reaches no shuffle.
@@ -99,9 +100,9 @@ _BAND_BY = mix(np.arange(1, BANDS * BAND_SIZE + 1, dtype=_U)).reshape(BANDS, BAN
 
 
 def band_hashes(signatures: np.ndarray) -> np.ndarray:
-    """n x BANDS hashes of n x COORDINATES signatures; the band's number is in the lowest bits."""
+    """n x BANDS hashes, under 2^63, of n x COORDINATES signatures; modulo BANDS they are the band's number."""
     number = np.arange(BANDS, dtype=_U)
-    return mix((signatures.astype(_U)[:, _BAND_AT] * _BAND_BY).sum(axis=2, dtype=_U) + number) // _U(BANDS) * _U(BANDS) + number
+    return mix((signatures.astype(_U)[:, _BAND_AT] * _BAND_BY).sum(axis=2, dtype=_U) + number) // _U(4 * BANDS) * _U(BANDS) + number
 
 
 def key_of(text: str) -> Column:

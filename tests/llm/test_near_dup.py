@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -119,3 +120,16 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, 6, None, 7, 10, 10, 11], key=repr)
     assert near_dup.deduplicated(df.limit(0)).count() == 0
     assert Counter(near_dup.with_classes(df.limit(0)).columns) == Counter([*df.columns, "class_id"])
+
+
+def test_bands_and_cut_miss_no_more_than_stated():
+    rng = np.random.default_rng(11)
+    chance = lambda s, m: math.comb(COORDINATES, m) * s**m * (1 - s) ** (COORDINATES - m)
+    missed = {}
+    for m in range(70, COORDINATES + 1):
+        order = rng.random((3000, COORDINATES))
+        agree = order <= np.sort(order, axis=1)[:, m - 1 : m]
+        missed[m] = 1.0 if m / COORDINATES < near_dup.CANDIDATE else 1 - np.mean(np.any([agree[:, at].all(axis=1) for at in near_dup._BAND_AT], axis=0))
+    # With room for the few draws in the second; long runs give about one in a million.
+    for s, most in ((0.8, 3e-4), (0.85, 4e-6)):
+        assert sum(chance(s, m) * x for m, x in missed.items()) < most
