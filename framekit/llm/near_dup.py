@@ -18,10 +18,10 @@ over sum of maxima, is at least 0.8. A class is a connected component of links.
 A pair at similarity 0.8 is missed with a probability of about 2 in 10,000, at 0.82 of 3 in 100,000, at 0.85 of 1 in a million
 (simulated with these bands and independent coordinates).
 
-Defined results: null texts and texts without a word have no links and no copies: each is its own class. Texts of one
-to four words have a single run, the whole text. The class id is the smallest document id in it; null ids count
-only where a class has no other, and then its id is null and similar texts in it all stay. Rows with equal ids and texts
-fall together like other copies.
+Defined results: null texts have no links and no copies: each row is its own class. Texts without a letter or digit are
+linked only to equal ones. Texts of one to four words have a single run, the whole text. The class id is the smallest document
+id in it; null ids count only where a class has no other, and then its id is null. Of each class one text stays, the one with the
+smallest id and, where texts share it, the smallest hash; of its rows, one. Rows with equal ids and texts fall together like other copies.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def key_of(text: str) -> Column:
 
 
 def _distinct(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """key, first (the smallest id) and the text's place-holder-free signature of every distinct text with words."""
+    """key, first (the smallest id) and the text's place-holder-free signature of every distinct text; null for one without words."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,15 +120,14 @@ def _distinct(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             keys, ids, weights, signs = [], [], [], []
             for i, k, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
                 elements, counts = shingles(t, known)
-                if len(elements):
-                    keys.append(k)
-                    ids.append(i)
-                    weights.append(int(counts.sum()))
-                    signs.append(signature(elements, counts.astype(np.float64)).tobytes())
+                keys.append(k)
+                ids.append(i)
+                weights.append(int(counts.sum()))
+                signs.append(signature(elements, counts.astype(np.float64)).tobytes() if len(elements) else None)
             arrays = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(weights, pa.int64()), pa.array(signs, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "weight", "signature"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), key_of(text).alias("key"), F.col(text).alias("text"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), key_of(text).alias("key"), F.col(text).alias("text"))
     # Copies fall together before anything else is done with them; min is combined before the shuffle.
     signed = rows.mapInArrow(run, "key long, doc_id long, weight long, signature binary")
     return signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("weight", "signature")).alias("s")).select(
@@ -298,8 +297,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """key, first (smallest id with the text) and class_id of each distinct text with words."""
-    signed = written(_distinct(docs, text, doc_id), "signatures")
+    """key, first (smallest id with the text), class_id and stays (true for one text of each class) of each distinct text."""
+    every = written(_distinct(docs, text, doc_id), "signatures")
+    signed = every.where(F.col("signature").isNotNull())
     members = written(_members(signed), "members")
     likely = written(_candidates(members, signed, None), "likely")
     links = written(_verified(likely, docs, text), "verified")
@@ -309,9 +309,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     rest = written(_verified(written(others, "candidates"), docs, text), "verified")
     within = written(_candidates(many, signed, roots, _texts(docs, text, many)), "within")
     linked = components(links.unionByName(rest).unionByName(within)).join(signed.select("key", "first"), "key")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = linked.join(lowest, "root").select("key", "class_id")
-    return signed.select("key", "first").join(named, "key", "left").select("key", "first", F.coalesce("class_id", "first").alias("class_id"))
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
+    lowest = linked.groupBy("root").agg(best.alias("best")).select("root", F.col("best.first").alias("class_id"), F.col("best.key").alias("survivor"))
+    named = linked.join(lowest, "root").select("key", "class_id", (F.col("key") == F.col("survivor")).alias("stays"))
+    return every.select("key", "first").join(named, "key", "left").select(
+        "key", "first", F.when(F.col("stays").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("stays", F.lit(True)).alias("stays")
+    )
 
 
 def with_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -319,23 +322,25 @@ def with_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     p = free_prefix([*docs.columns, "class_id"])
     kept = [c for c in (docs.columns if keep is None else keep) if c != "class_id"]
     of = classes(docs, text, doc_id).select(F.col("key").alias(f"{p}key"), "class_id")
-    rows = docs.select(*[docs[c] for c in kept], F.col(doc_id).cast("long").alias(f"{p}id"), key_of(text).alias(f"{p}key"))
+    # A null text's key is null, and meets no class.
+    rows = docs.select(*[docs[c] for c in kept], F.col(doc_id).cast("long").alias(f"{p}id"), F.when(F.col(text).isNotNull(), key_of(text)).alias(f"{p}key"))
     return rows.join(of, f"{p}key", "left").select(*kept, F.coalesce("class_id", F.col(f"{p}id")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each class, the one with the smallest id; all rows without words stay.
+    """One row of each class, the one with the smallest id; all rows without a text stay.
 
-    Only the texts of classes are looked at again: a row stays if its id is its class's. Rows that agree in id and
+    Only the texts of classes are looked at again: a row stays if its text and id are its class's first. Rows that agree in id and
     text as well are told apart by their partition and place, and one of them stays.
     """
     p = free_prefix(docs.columns)
     key, cls, first, n = f"{p}key", f"{p}class", f"{p}first", f"{p}n"
     of = written(classes(docs, text, doc_id), "classes")
-    # A text goes if it isn't its class's first, or has copies (then only its first row stays).
-    gone = of.where(~F.col("first").eqNullSafe(F.col("class_id"))).select(F.col("key").alias(key))
-    kept = docs.withColumn(key, key_of(text)).join(_small(gone), key, "left_anti")
-    counts = docs.select(key_of(text).alias(key), F.col(doc_id).alias(first)).groupBy(key).agg(F.count("*").alias(n), F.min(first).alias(first))
+    # A text goes if it isn't the one of its class that stays, or has copies (then only its first row stays).
+    gone = of.where(~F.col("stays")).select(F.col("key").alias(key))
+    own = F.when(F.col(text).isNotNull(), key_of(text))
+    kept = docs.withColumn(key, own).join(_small(gone), key, "left_anti")
+    counts = docs.select(own.alias(key), F.col(doc_id).alias(first)).groupBy(key).agg(F.count("*").alias(n), F.min(first).alias(first))
     copied = counts.where(F.col(n) > 1).join(of.select(F.col("key").alias(key)), key, "left_semi").select(key, first, n)
     marked = kept.join(_small(copied), key, "left")
     unique = marked.where(F.col(n).isNull() | F.col(doc_id).eqNullSafe(F.col(first)))

@@ -133,3 +133,19 @@ def test_bands_and_cut_miss_no_more_than_stated():
     # With room for the few draws in the second; long runs give about one in a million.
     for s, most in ((0.8, 3e-4), (0.85, 4e-6)):
         assert sum(chance(s, m) * x for m, x in missed.items()) < most
+
+
+def test_one_row_of_each_class_stays(spark):
+    near = near_group(4, seed=8)
+    near = [near[0], near[0] + " more", near[0] + " less", near[0] + " last"]
+    other = near_group(1, seed=9)[0]
+    rows = [(5, near[0]), (5, near[1]), (9, near[2]), (None, near[3]), (None, other), (None, other + " x"), (None, other), (7, "!!! ++"), (6, "!!! ++"), (8, "\U0001f600"), (8, "\U0001f600"), (3, "..."), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.class_id) for r in near_dup.with_classes(df).collect()), key=repr)
+    class_of = lambda i, t: 5 if t in near else None if t and t.startswith(other) else 6 if t == "!!! ++" else i
+    assert got == sorted(((i, t, class_of(i, t)) for i, t in rows), key=repr)
+    kept = [(r.doc_id, r.text) for r in near_dup.deduplicated(df).collect()]
+    assert sum(t in near for _, t in kept) == 1 and [i for i, t in kept if t in near] == [5]
+    assert sum(bool(t) and t.startswith(other) for _, t in kept) == 1
+    assert sorted((i, t) for i, t in kept if t and t not in near and not t.startswith(other)) == [(3, "..."), (6, "!!! ++"), (8, "\U0001f600")]
+    assert sum(t is None for _, t in kept) == 2 and len(kept) == 7
