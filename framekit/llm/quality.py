@@ -31,6 +31,8 @@ GOOD, BAD, ABSTAIN = 1, 0, 2
 SAMPLE_DOCS, FEATURES = 5000, 1 << 12
 KEEP_FROM = 0.5
 _CACHE = 100_000
+#: Longer words count as pieces of so many bytes, so that a text without blanks is scored from end to end.
+_PIECE = 64
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -134,9 +136,8 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > _CACHE:
             self.clear()
-        short = word[:64]
-        shape = _RUN.sub(rb"\1", short.translate(_CLASSES))[:12]
-        out = zlib.crc32(short.lower()) % FEATURES | zlib.crc32(b"\0" + shape) % FEATURES << 16
+        shape = _RUN.sub(rb"\1", word.translate(_CLASSES))[:12]
+        out = zlib.crc32(word.lower()) % FEATURES | zlib.crc32(b"\0" + shape) % FEATURES << 16
         self[word] = out
         return out
 
@@ -148,6 +149,8 @@ def _flag(name: str) -> int:
 def featurise(text: bytes, ids: _Ids) -> np.ndarray:
     """Square roots of the words', shapes' and repeats' shares in hashed places."""
     words = text.split()
+    if max(map(len, words)) > _PIECE:
+        words = [w[i : i + _PIECE] for w in words for i in range(0, len(w), _PIECE)]
     n = len(words)
     total = np.zeros(2 * FEATURES)
     for i in range(0, n, 100_000):

@@ -444,3 +444,12 @@ def test_quality_odd(odd):
     assert all(not r.accepted and r.score == 0 for r in out if not (r.text or "").split())
     empty = odd.limit(0)
     assert quality.classify(empty, quality.train(empty)).count() == 0
+
+
+def test_quality_features_reach_the_end_of_long_words():
+    ids = quality._Ids()
+    start = b"a" * 20 + b"Some-Text_without.blanks" * 4
+    a, b = (quality.featurise(start + end, ids) for end in (b"and-on" * 100, b"#@$%^&" * 100))
+    assert not np.array_equal(a, b)
+    assert np.array_equal(quality.featurise(b"x" * 64 + b"yz", ids), quality.featurise(b"x" * 64 + b" yz", ids))
+    assert len(max(ids, key=len)) == 64
