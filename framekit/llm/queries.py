@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framekit.llm import crc_sql, decontaminate, language_id, lm_score, mixing, near_dup, pii, quality, sharding, topk, url_rules
+from framekit.llm.common import spread_hash
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- quality -------------------------------------------------------------------------------
+# Quality
 
 
 @_query()
@@ -38,7 +39,7 @@ def op1_quality(spark, d):
     return quality.classify(docs, quality.train(docs), keep=["doc_id"])
 
 
-# ---- sharding ------------------------------------------------------------------------------
+# Sharding
 
 SHARDS = 16
 
@@ -46,13 +47,12 @@ _COST = "{{'cost': -ln((('0x' || substr(md5(key || '|' || {s}), 1, 13))::BIGINT:
 
 
 @_query(
-    f"""WITH n AS (SELECT greatest(64, (COUNT(*) + 1048575) // 1048576) AS buckets FROM documents),
-d AS (SELECT doc_id, COALESCE(doc_id::VARCHAR, '') AS key, (octet_length(encode(COALESCE(text, ''))) + 1)::BIGINT AS size,
+    f"""WITH d AS (SELECT doc_id, COALESCE(doc_id::VARCHAR, '') AS key, (octet_length(encode(COALESCE(text, ''))) + 1)::BIGINT AS size,
     ({crc_sql.crc32("encode(COALESCE(text, ''))")})::BIGINT AS text_crc32 FROM documents),
 s AS (SELECT *, list_sort([{", ".join(_COST.format(s=s) for s in range(SHARDS))}])[1].shard AS shard, list_sort([{", ".join(_COST.format(s=s) for s in range(SHARDS + 1))}])[1].shard AS grown_shard,
-    ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '-') || ':' || text_crc32 || ':' || size), 1, 8))::BIGINT % n.buckets AS bucket FROM d, n)
+    substr(md5(COALESCE(doc_id::VARCHAR, '-') || ':' || text_crc32 || ':' || size), 1, 15) AS digits FROM d)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard FROM s"""
+  row_number() OVER (PARTITION BY shard ORDER BY digits, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard FROM s"""
 )
 def op2_sharding(spark, d):
     """All documents into equal shards by their id; law ``key``."""
@@ -65,20 +65,44 @@ def op2_sharding(spark, d):
     return sharding.shard(placed, "doc_id", equal, "grown_shard")
 
 
-# ---- mixing --------------------------------------------------------------------------------
+# Mixing
 
 #: Slots of each named source and of all others together.
 MIX, MIX_OTHER = {"src0": 20.0, **{f"src{i}": 5.0 for i in range(1, 16)}}, 5.0
 
 
-@_query()
+def _mix_sql() -> str:
+    """The schedule by a recursive step for each block: of the released sources, the one with the earliest deadline."""
+    names = sorted(MIX)
+    weights = [int(MIX[n]) for n in names] + [int(MIX_OTHER)]
+    pool = "CASE source " + " ".join(f"WHEN '{n}' THEN {i + 1}" for i, n in enumerate(names)) + f" ELSE {len(weights)} END"
+    each = f"range(1, {len(weights) + 1})"
+    zeros = f"list_transform({each}, lambda i: 0::BIGINT)"
+    deadline = "ceil((ran[i] + 1) * total / w[i])::BIGINT"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, {pool} AS pool, md5(text) AS text_md5 FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY substr(md5(COALESCE(doc_id::VARCHAR, '-') || ':' || COALESCE(text_md5, '-')), 1, 15), doc_id NULLS FIRST, text_md5 NULLS FIRST) - 1 AS rank FROM d),
+n AS (SELECT list_transform({each}, lambda i: COALESCE(list_filter(list({{'pool': pool, 'n': n}}), lambda x: x.pool = i)[1].n, 0)) AS n, {weights}::BIGINT[] AS w
+  FROM (SELECT pool, COUNT(*) AS n FROM d GROUP BY pool)),
+b AS (SELECT n, w, list_transform(n, lambda x: (x + 99) // 100) AS blocks FROM n),
+s AS (SELECT 0::BIGINT AS slot, 0::BIGINT AS first, {zeros} AS done, {zeros} AS ran, 0::BIGINT AS pick, 0::BIGINT AS block, 0::BIGINT AS ahead FROM b
+  UNION ALL
+  SELECT slot + 1, CASE WHEN done[p] + 1 = blocks[p] THEN slot + 1 ELSE first END, list_transform(done, lambda x, i: x + (i = p)::BIGINT),
+    CASE WHEN done[p] + 1 = blocks[p] THEN {zeros} ELSE list_transform(ran, lambda x, i: x + (i = p)::BIGINT) END, p, done[p], least(100, n[p] - 100 * done[p])
+  FROM (SELECT *, list_min(list_transform(list_filter({each}, lambda i: done[i] < blocks[i] AND floor(ran[i] * total / w[i]) <= slot - first), lambda i: {deadline} * 1000 + i)) % 1000 AS p
+    FROM (SELECT s.*, b.*, list_sum(list_transform({each}, lambda i: CASE WHEN done[i] < blocks[i] THEN w[i] ELSE 0 END)) AS total FROM s, b WHERE slot < list_sum(blocks)))),
+l AS (SELECT pick, block, slot - 1 AS slot, SUM(ahead) OVER (ORDER BY slot) - ahead AS start FROM s WHERE pick > 0)
+SELECT doc_id, source, l.block::BIGINT AS block, l.slot::BIGINT AS slot, (l.start + r.rank % 100)::BIGINT AS position FROM r JOIN l ON l.pick = r.pool AND l.block = r.rank // 100"""
+
+
+@_query(_mix_sql())
 def op3_mixing(spark, d):
     """The place of every document in a mixture of its sources."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
-    return mixing.mix(docs, "source", MIX, MIX_OTHER, ["doc_id", "text_hash"]).drop("text_hash")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("text_md5"))
+    key = ["doc_id", "text_md5"]
+    return mixing.mix(docs, "source", MIX, MIX_OTHER, key, hashed=spread_hash([F.col(c) for c in key])).drop("text_md5")
 
 
-# ---- URL rules -----------------------------------------------------------------------------
+# URL rules
 
 RULES = [
     url_rules.Rule("block", "net", "/"),
@@ -109,7 +133,7 @@ def _fold(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-# ---- near duplicates -----------------------------------------------------------------------
+# Near duplicates
 
 
 @_query()
@@ -118,7 +142,7 @@ def op5_near_dup(spark, d):
     return near_dup.with_classes(table(spark, d, "documents"), keep=("doc_id",))
 
 
-# ---- decontamination -----------------------------------------------------------------------
+# Decontamination
 
 
 @_query()
@@ -128,7 +152,7 @@ def op6_decontamination(spark, d):
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.sum("hits").alias("hits"))
 
 
-# ---- language model ------------------------------------------------------------------------
+# Language model
 
 
 @_query()
@@ -139,7 +163,7 @@ def op7_lm_score(spark, d):
     return lm_score.score(docs, model, head, counts, keep=["doc_id", "held_out"])
 
 
-# ---- language ------------------------------------------------------------------------------
+# Language
 
 
 @_query()
@@ -150,7 +174,7 @@ def op8_language(spark, d):
     return language_id.predict(docs, model, keep=["doc_id", "held_out"])
 
 
-# ---- personal data -------------------------------------------------------------------------
+# Personal data
 
 
 @_query()
@@ -166,7 +190,7 @@ def op10_pii(spark, d):
     return found.select("doc_id", *counts, F.sha2(written_as(base), 256).alias("base_sha256"), written_as(F.col("spans")).alias("spans"))
 
 
-# ---- top-k ---------------------------------------------------------------------------------
+# Top-k
 
 
 @_query(

@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framekit.llm.common import bucket_count, number_within
+from framekit.llm.common import number_within, spread_hash
+from framekit.names import backticks
 
 #: Hexadecimal digits of an MD5 that make up a uniform number: 52 bits, exact in a double.
 _DIGITS = 13
@@ -39,16 +40,14 @@ def rendezvous(key: Column, shards: Sequence[tuple[int, float]]) -> Column:
 
 def shard(df: DataFrame, key: str, shards: Sequence[tuple[int, float]], name: str = "shard") -> DataFrame:
     """Append the shard of each row."""
-    return df.withColumn(name, rendezvous(F.col(key), shards))
+    return df.withColumn(name, rendezvous(F.col(backticks(key)), shards))
 
 
 def with_slots(df: DataFrame, identity: Sequence[str], shard_column: str = "shard", name: str = "slot") -> DataFrame:
-    """Append each row's place in its shard: gapless from 0, the same for the same rows.
+    """Append each row's place in its shard: gapless from 0, the same for the same rows whatever the table's size and partitions.
 
     ``identity``: columns that tell rows apart; rows equal in all of them are interchangeable.
     The places follow a hash of these columns, so that a shard of any size is numbered by many tasks.
     """
-    buckets = bucket_count(df)
-    text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in identity])
-    bucket = (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets).cast("int")
-    return number_within(df, name, [shard_column], bucket, identity, buckets)
+    own = [F.col(backticks(c)) for c in identity]
+    return number_within(df, name, [shard_column], spread_hash(own), own)
