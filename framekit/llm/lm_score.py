@@ -12,16 +12,19 @@ Tokens are the text's words, lower-cased in A-Z, and one end. Every word of the
 A token's probability is P(class | class before) * P(word | class), with Witten-Bell smoothed transitions. Only words without
 any occurrence in training go by shape; there is one unknown word in each shape's class, so all sums to one.
 
-The word table stays distributed. Only its head, at most ``HEAD`` words of at most ``HEAD_BYTES`` bytes, and bounded matrices
-reach the driver; all other words meet their counts and classes in a shuffle join, where none is frequent enough to be a hot key.
+The word table stays distributed. Only its head, at most ``HEAD`` words, and bounded matrices reach the driver; all other words meet
+their counts and classes in a shuffle join, where none is frequent enough to be a hot key: each of the head's is at least as frequent, or, if
+the head is empty, over ``HEAD`` words are. Words of over ``WORD_BYTES`` bytes go by a digest of the whole word, so the head is bounded in bytes too.
 Texts are coded once for training; what is gathered about head words is merged in blocks of ``BLOCK`` words.
 
-Defined results: a null text is empty, and an empty text has the end token only. Equal texts
-score alike. Without training texts every token is unknown and the model is the base model's uniform limit.
+Defined results: a null text is empty, and an empty text has the end token only. Texts of any length are read from end to end.
+Equal texts score alike, and repeated rows count each time. Without training texts every token is unknown and the model is the base
+model's uniform limit. Kept columns keep their names, but for those that are added, which replace them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Sequence
@@ -31,13 +34,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framekit.llm.common import drop_written, written
-from framekit.names import free_prefix
+from framekit.llm.common import Scratch, columns, written
+from framekit.names import backticks, free_prefix
 
 #: Words that are clustered on the driver, classes, sweeps of that exchange, and rounds of the head's other words.
 UNITS, CLASSES, SWEEPS, ROUNDS = 1000, 40, 8, 1
-#: Words whose counts every task gets.
-HEAD, HEAD_BYTES = 300_000, 64
+#: Words whose counts every task gets; bytes from which on a word goes by its digest.
+HEAD, WORD_BYTES = 300_000, 64
 #: Entries that a task combines in memory before it passes them on.
 COMBINE = 400_000
 #: Head words whose neighbours are merged in one place; neighbours that are looked at in one go.
@@ -48,8 +51,14 @@ _OPEN = 255
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    """Exactly the runs without blank, tab, line feed, vertical tab, form feed and carriage return; A-Z lower-cased."""
-    return (text or b"").lower().split()
+    """Exactly the runs without blank, tab, line feed, vertical tab, form feed and carriage return; A-Z lower-cased.
+
+    A long one is told by a digest of all of it, after a blank, which no other word holds, and by its last byte.
+    """
+    words = (text or b"").lower().split()
+    if max(map(len, words), default=0) > WORD_BYTES:
+        words = [w if len(w) <= WORD_BYTES else b" " + hashlib.blake2b(w, digest_size=16).digest() + w[-1:] for w in words]
+    return words
 
 
 def shape_of(word: bytes) -> int:
@@ -96,20 +105,19 @@ def head_of(counts: DataFrame) -> list[tuple[bytes, int]]:
     A histogram of rounded logarithms finds the count to cut at, so no task sorts the table.
     """
     level = F.floor(F.log2("c") * 16).cast("int")
-    short = counts.where(F.octet_length("word") <= HEAD_BYTES)
     cut, total = None, 0
-    for row in sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True):
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
         total += row["count"]
         if total > HEAD:
             break
         cut = row["level"]
     if cut is None:
         return []
-    rows = short.where(level >= cut).collect()
+    rows = counts.where(level >= cut).collect()
     return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def coded(texts: DataFrame, words: list[bytes]) -> DataFrame:
+def coded(texts: DataFrame, words: list[bytes], scratch: Scratch) -> DataFrame:
     """row, ids and rest of every text: each word's place in the head as int32, or -1 - shape and the word itself in ``rest``."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
@@ -126,7 +134,7 @@ def coded(texts: DataFrame, words: list[bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array(rests, pa.list_(pa.binary()))], names=["ids", "rest"])
 
     rows = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "ids binary, rest array<binary>")
-    return written(rows.withColumn("row", F.monotonically_increasing_id()), "coded")
+    return scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "coded")
 
 
 def _ids(words: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
@@ -468,31 +476,35 @@ def build(head: list[tuple[bytes, int]], units: int, classes: np.ndarray, joint:
 
 
 def fit(texts: DataFrame) -> tuple[ClassModel, list[tuple[bytes, int]], DataFrame]:
-    """The model, the head of the word table, and (word, c, class) of all other words, from the column ``text``."""
-    counts = written(count_words(texts), "words")
-    head = head_of(counts)
-    drop_written(counts)
-    ends = texts.count()
-    words = [w for w, _ in head]
-    units, h = min(UNITS, len(head)), len(head)
-    codes = coded(texts, words)
-    # Places in a table of the head, the end, and the shapes from last to first, which negative ids reach.
-    shape_unit = np.arange(units, units + _SHAPES)
-    table = np.concatenate([np.arange(units), units + np.array([shape_of(w) for w in words[units:]], np.int64), [units + _SHAPES], shape_unit[::-1]]).astype(np.int64)
-    size = units + _SHAPES + 1
-    bigrams = _matrix(codes.select("ids"), size, lambda batch: table[_joined(batch, h)])
-    classes = exchange(bigrams, size - 1)[table]
-    for _ in range(ROUNDS if h > units else 0):
-        classes = _head_round(codes.select("ids"), classes, h, units)
-    rare = _rare_words(codes, classes, h)
-    joint = count_class_bigrams(codes, classes, h, rare)
-    drop_written(codes)
+    """The model, the head of the word table, and (word, c, class) of all other words, from the column ``text``.
+
+    The last is read from the shared folder by whatever is scored with it, so its files stay.
+    """
+    with Scratch(texts.sparkSession) as scratch:
+        counts = scratch.write(count_words(texts), "words")
+        head = head_of(counts)
+        scratch.drop(counts)
+        ends = texts.count()
+        words = [w for w, _ in head]
+        units, h = min(UNITS, len(head)), len(head)
+        codes = coded(texts, words, scratch)
+        # Places in a table of the head, the end, and the shapes from last to first, which negative ids reach.
+        shape_unit = np.arange(units, units + _SHAPES)
+        table = np.concatenate([np.arange(units), units + np.array([shape_of(w) for w in words[units:]], np.int64), [units + _SHAPES], shape_unit[::-1]]).astype(np.int64)
+        size = units + _SHAPES + 1
+        bigrams = _matrix(codes.select("ids"), size, lambda batch: table[_joined(batch, h)])
+        classes = exchange(bigrams, size - 1)[table]
+        for _ in range(ROUNDS if h > units else 0):
+            classes = _head_round(codes.select("ids"), classes, h, units)
+        rare = _rare_words(codes, classes, h)
+        joint = count_class_bigrams(codes, classes, h, rare)
     by_class = {r["class"]: (r["t"], r["v"]) for r in rare.groupBy("class").agg(F.sum("c").alias("t"), F.count("*").alias("v")).collect()}
     return build(head, units, classes, joint, by_class, ends), head, rare
 
 
-def score(docs: DataFrame, model: ClassModel, head: list[tuple[bytes, int]], rare: DataFrame, text: str = "text", keep: Sequence[str | Column] = ()) -> DataFrame:
+def score(docs: DataFrame, model: ClassModel, head: list[tuple[bytes, int]], rare: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """The kept columns with n_tokens, n_known, train_tokens, base_score and score of every whole text."""
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     from pyspark.sql import types as T
 
     sc = docs.sparkSession.sparkContext
@@ -501,8 +513,8 @@ def score(docs: DataFrame, model: ClassModel, head: list[tuple[bytes, int]], rar
     p = free_prefix(docs.columns)
     mark, row = f"{p}text", f"{p}row"
     names = n_, known_, base_, part_, seq_, rest_ = [p + n for n in ("n", "known", "base", "part", "seq", "rest")]
-    df = docs.select(*keep, F.col(text).cast("binary").alias(mark))
-    own = [c for c in df.columns if c != mark]
+    own = [c for c in keep if c.lower() not in added]
+    df = docs.select(*columns(docs, own), F.col(backticks(text)).cast("binary").alias(mark))
 
     def run(batches):
         import pyarrow as pa
@@ -563,11 +575,11 @@ def score(docs: DataFrame, model: ClassModel, head: list[tuple[bytes, int]], rar
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in left), pa.array(steps, pa.float64())], names=[*left, f"{p}steps"])
 
     left = [*own, n_, known_, base_, part_, f"{p}k", f"{p}s", f"{p}m", f"{p}e"]
-    both = parts.select(row, seq_, *left[:-4]).join(sums, row, "left").select(*left, seq_, f"{p}places")
+    both = parts.select(row, seq_, *columns(parts, left[:-4])).join(sums, row, "left").select(*columns(parts, left), seq_, f"{p}places")
     walked = both.mapInArrow(walk, T.StructType([*(both.schema[x] for x in left), T.StructField(f"{p}steps", T.DoubleType())]))
     zero = lambda x: F.coalesce(F.col(p + x), F.lit(0))
     return walked.select(
-        *own,
+        *columns(walked, own),
         F.col(n_).alias("n_tokens"),
         (F.col(known_) + zero("k")).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
