@@ -6,8 +6,13 @@ estimates how each labeller votes on good and on bad texts, and with that the po
 labels of a bounded sample (``SAMPLE_DOCS``) train a linear scorer over hashed words and word shapes,
 which then scores every whole text.
 
+Labellers that look at the same defect would count it twice, as expectation-maximisation takes them to be independent given the
+class; so each reads another property of the text, and every known defect shows in two properties at least.
+
 Defined results: a null text, or one without a word, has no votes, posterior and score 0, and is
-rejected. Equal texts get equal scores. Where the sample is empty or of one class, the score is the posterior.
+rejected. Equal texts get equal scores, repeated rows stay. Where the sample is empty or of one class, the score is the posterior; an
+empty table gives an empty table. Texts and words of any length are read from end to end. Kept columns keep their names, but for
+those that are added, which replace them.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import hashable, hashed_sample
-from framekit.names import free_prefix
+from framekit.llm.common import append_columns, hashable, sample_in_place
+from framekit.names import backticks
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 #: Documents that train the scorer, and the scorer's hashed features.
@@ -37,6 +42,8 @@ _PIECE = 64
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 _ODD = bytes(c for c in range(33, 127) if c not in _LETTERS and not 48 <= c <= 57 and c not in b".,'!?|-\":;()")
+#: What words of prose don't end in.
+_NO_ENDS = _ODD + b"|-"
 
 
 def _but(data: bytes, drop: bytes) -> int:
@@ -49,9 +56,9 @@ def _vote(value: float, good_below: float, bad_above: float) -> int:
 
 
 def votes(text: bytes) -> tuple[int, ...]:
-    """One vote of each labeller on a text with words: repeats, symbols, capitals, menus, shouting, variety, clutter, lines.
+    """One vote of each labeller on a text with words: repeats, symbols, capitals, menus, shouting, variety, word ends, lines.
 
-    Each defect is in sight of at least two of them; they abstain on texts too short to tell.
+    They abstain on texts too short to tell.
     """
     words = text.split()
     n, letters, lines = len(words), _but(text, _LETTERS), text.split(b"\n")
@@ -63,7 +70,7 @@ def votes(text: bytes) -> tuple[int, ...]:
         _vote(pipes / n, 0.0, 0.15),
         _vote(shouts / n, 0.05, 0.3),
         _vote(-len(set(words)) / n, -0.5, -0.3) if n >= 20 else ABSTAIN,
-        _vote((odd + pipes + shouts) / n, 0.05, 0.15),
+        _vote(sum(w[-1] in _NO_ENDS for w in words) / n, 0.05, 0.15) if n >= 4 else ABSTAIN,
         _vote(1 - len(set(lines)) / len(lines), 0.34, 0.5) if len(lines) >= 4 else ABSTAIN,
     )
 
@@ -124,7 +131,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return model
 
 
-# ---- the scorer ----------------------------------------------------------------------------
+# The scorer
 
 _CLASSES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
@@ -136,7 +143,7 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > _CACHE:
             self.clear()
-        shape = _RUN.sub(rb"\1", word.translate(_CLASSES))[:12]
+        shape = _RUN.sub(rb"\1", word.translate(_CLASSES))
         out = zlib.crc32(word.lower()) % FEATURES | zlib.crc32(b"\0" + shape) % FEATURES << 16
         self[word] = out
         return out
@@ -185,7 +192,7 @@ class QualityModel:
 
 
 def _binary(text: str) -> Column:
-    return F.col(text).cast("binary")
+    return F.col(backticks(text)).cast("binary")
 
 
 def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -221,8 +228,8 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["pattern", "at", "x"])
 
-    # By whole rows: a text with very many copies counts by its share and cannot fill the sample.
-    some = hashed_sample(docs.where(F.col(text).isNotNull()), hashable(docs), sample_docs).select(_binary(text).alias("t"))
+    # By whole rows: a text with very many copies counts by its share and cannot fill the sample. Texts are read where they lie; features leave.
+    some = sample_in_place(docs.where(F.col(backticks(text)).isNotNull()), hashable(docs), sample_docs).select(_binary(text).alias("t"))
     rows = some.mapInArrow(run, "pattern long, at array<int>, x array<float>").toPandas()
     rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["pattern"][i], rows["at"][i].tobytes() if hasattr(rows["at"][i], "tobytes") else str(rows["at"][i])))]
     p = labels.posterior(rows["pattern"].to_numpy()) if len(rows) else np.zeros(0)
@@ -236,14 +243,11 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
 
 def classify(docs: DataFrame, model: QualityModel, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Append posterior (of the votes), score and accepted to the kept columns (all by default)."""
-    made = ("posterior", "score", "accepted")
-    mark = free_prefix(docs.columns) + "data"
-    own = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    df = docs.select(*[docs[c] for c in own], _binary(text).alias(mark))
+    made = [T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
     labels, weights = model.labels, model.weights
     shared = docs.sparkSession.sparkContext.broadcast((None if labels is None else (labels.rates, labels.good), weights))
 
-    def run(batches):
+    def start():
         import pyarrow as pa
 
         plain, w = shared.value
@@ -261,11 +265,10 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", keep: Seq
                 return posterior, posterior
             return posterior, float(1 / (1 + np.exp(-np.clip(featurise(data, ids) @ w[:-1] + w[-1], -30, 30))))
 
-        for batch in batches:
-            found = list(map(one, batch.column(mark).to_pylist()))
-            post, score = (np.array([f[i] for f in found], np.float64) for i in (0, 1))
-            new = [pa.array(post), pa.array(score), pa.array(score >= KEEP_FROM)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], names=[*own, *made])
+        def compute(texts):
+            post, score = np.array(list(map(one, texts)), np.float64).reshape(-1, 2).T
+            return [pa.array(post), pa.array(score), pa.array(score >= KEEP_FROM)]
+
+        return compute
 
-    schema = T.StructType([*(df.schema[c] for c in own), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return df.mapInArrow(run, schema)
+    return append_columns(docs, keep, _binary(text), made, start)
