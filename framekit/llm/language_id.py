@@ -2,35 +2,40 @@
 
 A text is the mean over its words' character n-grams of hashed embeddings; a linear layer and a softmax give
 the languages' probabilities. Plain stochastic gradient descent in numpy trains both on a
-bounded sample of labelled texts (``SAMPLE_DOCS`` documents, ``TRAIN_WORDS`` words from all over each); a
-temperature is fitted and a rejection threshold chosen on a part held out from that sample.
+bounded sample of labelled texts (``SAMPLE_DOCS`` documents, each as a whole, in every language that they have); a
+temperature is fitted and a rejection threshold chosen on a part held out from that sample. The texts are read where
+they lie: only counts of hashed n-grams leave the executors, at most ``BUCKETS`` for a text of any length.
 
 Since the model is linear before the softmax, each n-gram's contribution to the logits is a table row,
 and each word's sum is kept in a bounded cache: whole texts of any length are scored in one pass
 with memory that does not depend on the text's words.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text
-where nothing was learned. Rows are judged on their text alone, so copies agree. A text in no learned
-language still gets the likeliest, with ``rejected`` set.
+where nothing was learned, and an empty table gives an empty table. Rows are judged on their text alone, so copies agree. A text
+in no learned language still gets the likeliest, with ``rejected`` set. Texts and words of any length are read from end to
+end. Kept columns keep their names, but for those that are added, which replace them.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framekit.llm.common import hashable, hashed_sample
+from framekit.llm.common import append_columns, hashable, sample_in_place
+from framekit.names import backticks
 
 UNDETERMINED = "und"
 BUCKETS, WIDTH = 1 << 15, 16
-#: Bounds of training: documents, words of each (spread evenly over the text), languages (the most frequent).
-SAMPLE_DOCS, TRAIN_WORDS, MAX_LANGUAGES = 4000, 120, 200
+#: Documents that training may read.
+SAMPLE_DOCS = 4000
 EPOCHS, RATE, BATCH = 5, 4.0, 16
 #: Share of held-out texts in learned languages that rejection keeps.
 KEEP = 0.99
@@ -135,28 +140,30 @@ class Scorer:
         return self.model.languages[best], float(p[best]), bool(p[best] < self.model.reject_below)
 
 
-def _spread_words(text: str) -> list[str]:
-    words = words_of(text)
-    step = max(1, len(words) // TRAIN_WORDS)
-    return words[::step][: 2 * TRAIN_WORDS]
-
-
-def fit(examples: Sequence[tuple[list[str], str]], seed: int = 7) -> LanguageModel:
-    """Train on (words, language) pairs."""
-    counts: dict[str, int] = {}
-    for _, lang in examples:
-        counts[lang] = counts.get(lang, 0) + 1
-    languages = sorted(sorted(counts, key=lambda k: (-counts[k], k))[:MAX_LANGUAGES])
-    cache: dict[str, list[int]] = {}
-    known = Grams()
-    bags, ys = [], []
-    for words, lang in examples:
-        if lang in languages and words:
-            ids = [g for w in words for g in (cache.get(w) or cache.setdefault(w, grams_of(w, known)))]
-            bags.append(np.array(ids))
-            ys.append(languages.index(lang))
-    if not bags:
+def bag_of(text: str, cache: dict[str, list[int]], known: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text's n-grams, ascending, and how often each occurs."""
+    total = np.zeros(BUCKETS, np.int64)
+    for word, n in Counter(words_of(text)).items():
+        grams = cache.get(word)
+        if grams is None:
+            if len(cache) > _CACHE // 4:
+                cache.clear()
+            grams = cache[word] = grams_of(word, known)
+        np.add.at(total, grams, n)
+    at = np.flatnonzero(total)
+    return at.astype(np.int32), total[at]
+
+
+def fit(examples: Sequence[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> LanguageModel:
+    """Train on (buckets, counts, language) of texts."""
+    examples = [e for e in examples if len(e[0])]
+    languages = sorted({lang for _, _, lang in examples})
+    if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+    place = {lang: i for i, lang in enumerate(languages)}
+    bags, ys = [e[0] for e in examples], [place[e[2]] for e in examples]
+    # Each bucket's share of its text.
+    shares = [(e[1] / e[1].sum()).astype(np.float32) for e in examples]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(bags))
     held = order[: len(bags) // 5] if len(bags) >= 50 else order[:0]
@@ -172,19 +179,20 @@ def fit(examples: Sequence[tuple[list[str], str]], seed: int = 7) -> LanguageMod
             rows = train[b * BATCH : (b + 1) * BATCH]
             sizes = np.array([len(bags[i]) for i in rows])
             ids, at = np.concatenate([bags[i] for i in rows]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            mean = np.add.reduceat(emb[ids], at, axis=0) / sizes[:, None]
+            share = np.concatenate([shares[i] for i in rows])[:, None]
+            mean = np.add.reduceat(emb[ids] * share, at, axis=0)
             z = mean @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            step = np.repeat((p @ out.T) / sizes[:, None], sizes, axis=0)
+            step = np.repeat(p @ out.T, sizes, axis=0) * share
             out -= rate * (mean.T @ p) / len(rows) ** 0.5
             bias -= 0.1 * rate * p.mean(axis=0)
             touched, inverse = np.unique(ids, return_inverse=True)
             grad = np.stack([np.bincount(inverse, step[:, j], len(touched)) for j in range(WIDTH)], axis=1)
             emb[touched] -= (rate * grad).astype(np.float32)
     parts = emb @ out
-    z = np.array([parts[bags[i]].mean(axis=0) + bias for i in held]) if len(held) else np.zeros((0, k))
+    z = np.array([shares[i] @ parts[bags[i]] + bias for i in held]) if len(held) else np.zeros((0, k))
     temperature, reject = 1.0, 0.0
     if len(held):
         def top(t: float) -> np.ndarray:
@@ -198,45 +206,40 @@ def fit(examples: Sequence[tuple[list[str], str]], seed: int = 7) -> LanguageMod
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
-    """Fit on a bounded sample of rows with a language; the words are cut out on the executors."""
+    """Fit on a bounded sample of rows with a language; the texts are counted on the executors."""
     # By whole rows: a text with very many copies counts by its share and cannot fill the sample.
-    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    some = hashed_sample(labelled, hashable(labelled), sample_docs).select(text, lang)
+    t, by = F.col(backticks(text)), F.col(backticks(lang))
+    labelled = docs.where(t.isNotNull() & by.isNotNull())
+    some = sample_in_place(labelled, hashable(labelled), sample_docs).select(t.alias("text"), by.cast("string").alias("lang"))
 
-    def cut(batches):
+    def count(batches):
         import pyarrow as pa
 
+        cache, known = {}, Grams()
         for batch in batches:
-            words = [_spread_words(t) for t in batch.column(0).to_pylist()]
-            clipped = [[w[:200] for w in ws] for ws in words]
-            yield pa.RecordBatch.from_arrays([pa.array(clipped, pa.list_(pa.string())), batch.column(1)], names=["words", "lang"])
-
-    rows = some.mapInArrow(cut, "words array<string>, lang string").collect()
-    return fit(sorted((list(r.words), r.lang) for r in rows))
-
-
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: Sequence[str | Column] = ("*",)) -> DataFrame:
-    """Append lang_pred, score and rejected to the kept columns; the text itself is dropped unless kept."""
-    mark = "__text"
-    while mark in docs.columns:
-        mark = "_" + mark
-    made = ("lang_pred", "score", "rejected")
-    df = docs.withColumn(mark, F.col(text)).select(*keep, mark) if tuple(keep) != ("*",) else docs.withColumn(mark, F.col(text))
-    own = [c for c in df.columns if c != mark and c not in made]
-    df = df.select(*[df[c] for c in own], mark)
+            bags = [bag_of(x, cache, known) for x in batch.column("text").to_pylist()]
+            ids, n = (pa.array([b[i].astype(kind).tobytes() for b in bags], pa.binary()) for i, kind in ((0, "<u2"), (1, "<f4")))
+            yield pa.RecordBatch.from_arrays([ids, n, batch.column("lang")], names=["ids", "n", "lang"])
+
+    rows = some.mapInArrow(count, "ids binary, n binary, lang string").collect()
+    ordered = sorted((bytes(r["ids"]), bytes(r["n"]), r["lang"]) for r in rows)
+    return fit([(np.frombuffer(i, "<u2").astype(np.int32), np.frombuffer(n, "<f4").astype(np.float64), by) for i, n, by in ordered])
+
+
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Append lang_pred, score and rejected to the kept columns (all by default)."""
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.parts, model.bias, model.temperature, model.reject_below))
 
-    def run(batches):
+    def start():
         import pyarrow as pa
 
         scorer = Scorer(LanguageModel(*shared.value))
-        for batch in batches:
-            found = list(map(scorer.predict, batch.column(mark).to_pylist()))
-            cols = list(zip(*found, strict=True)) or [(), (), ()]
-            new = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], names=[*own, *made])
 
-    from pyspark.sql import types as T
+        def compute(texts):
+            cols = list(zip(*map(scorer.predict, texts), strict=True)) or [(), (), ()]
+            return [pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+
+        return compute
 
-    schema = T.StructType([*(df.schema[c] for c in own), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return df.mapInArrow(run, schema)
+    return append_columns(docs, keep, F.col(backticks(text)), made, start)
