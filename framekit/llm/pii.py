@@ -7,11 +7,12 @@ brought to canonical form and described by its format and context; boosted trees
 trained on the base spans against candidates that no reading of the base patterns admits, score
 it, and a threshold for each kind, set for precision on held-out candidates, selects what is added.
 
-Training reads a bounded sample of documents (``SAMPLE_DOCS`` with a digit or an at sign); scoring covers every whole text.
-All matching is linear in the text.
+Training reads a bounded sample of documents (``SAMPLE_DOCS`` with a digit or an at sign) and of their candidates
+(``SAMPLE_CANDIDATES``); scoring covers every whole text. All matching is linear in the text.
 
-Defined results: a null text is the empty text, with no spans. Without enough candidates of both classes
-nothing is added. Added spans overlap no base span and each other never. Offsets count code points.
+Defined results: a null text is the empty text, with no spans. Without enough candidates of both classes, as on an empty table,
+nothing is added. Added spans overlap no base span and each other never. Offsets count code points. Equal texts get equal spans and
+repeated rows stay. Columns of the input are kept whatever their names and types, but for one that has the output's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -19,19 +20,21 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framekit.llm.boosting import BoostedTrees
-from framekit.llm.common import drop_written, hashable, hashed_sample, sample_in_place, written
+from framekit.llm.common import Scratch, append_columns, hashable, hashed_sample, sample_in_place
+from framekit.names import backticks
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that training may read, and candidates it needs.
-SAMPLE_DOCS, LEAST_CANDIDATES = 6000, 50
+#: Documents that training may read, candidates that it learns from at most, and at least.
+SAMPLE_DOCS, SAMPLE_CANDIDATES, LEAST_CANDIDATES = 6000, 60_000, 50
 #: Precision that the thresholds keep on held-out candidates.
 PRECISION = 0.98
 
@@ -80,30 +83,62 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-# ---- candidates ----------------------------------------------------------------------------
+# Candidates
 
 _AT = re.compile(r"\s?[\[({]\s?at\s?[\])}]\s?", re.IGNORECASE)
 _DOT = re.compile(r"\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?", re.IGNORECASE)
-_DOT_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?)[A-Za-z0-9-]{1,63})+", re.IGNORECASE)
+_DOT_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?)[A-Za-z0-9-]+)+", re.IGNORECASE)
 _ANY_IP = re.compile(r"(?<![0-9])[0-9]{1,4}(?:(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?)[0-9]{1,4}){3}", re.IGNORECASE)
 _ANY_CARD = re.compile(r"[0-9](?:[\x20._/-]{0,2}[0-9]){12,}")
 _ANY_PHONE = re.compile(r"(?:\+\s?|\(\s?)?[0-9][0-9\x20()./-]{5,}[0-9]")
 
 
+#: Digits of a run of numbers that is taken for a table when training.
+_TABLE = 40
+_GROUP = re.compile(r"[0-9]+")
+
+
+def _digit_spans(text: str, start: int, end: int, least: int, most: int) -> Iterator[tuple[int, int]]:
+    """The span, or if it has more digits than ``most``, every part of it between two groups of digits that has at most as many and ``least``."""
+    n = len(_digits(text[start:end]))
+    if n <= most:
+        if n >= least:
+            yield start, end
+        return
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    for i, (s, _) in enumerate(groups):
+        total = 0
+        while s > start and text[s - 1] in "(+":
+            s -= 1
+        for a, e in groups[i : i + most]:
+            total += e - a
+            if total > most:
+                break
+            if total >= least:
+                yield s, e
+
+
 def candidates(text: str) -> list[Span]:
     """Overlapping spans of any shape that might be personal data."""
     found: list[Span] = [("email", *s) for s in _emails(text)]
+    last = 0
     for m in _AT.finditer(text):
-        left = text[max(0, m.start() - 64) : m.start()]
-        start = m.start() - (len(left) - len(left.rstrip(_LOCAL)))
+        # Brackets are no part of a name, so this goes back to the match before at most.
+        start = last + len(text[last : m.start()].rstrip(_LOCAL))
+        last = m.end()
         if start < m.start() and (d := _DOT_DOMAIN.match(text, m.end())):
             found.append(("email", start, d.end()))
     found += [("ip", *m.span()) for m in _ANY_IP.finditer(text)]
-    found += [("card", *m.span()) for m in _ANY_CARD.finditer(text) if len(_digits(m[0])) <= 19]
-    found += [("phone", *m.span()) for m in _ANY_PHONE.finditer(text) if 7 <= len(_digits(m[0])) <= 16]
+    found += [("card", *s) for m in _ANY_CARD.finditer(text) for s in _digit_spans(text, *m.span(), 13, 19)]
+    found += [("phone", *s) for m in _ANY_PHONE.finditer(text) for s in _digit_spans(text, *m.span(), 7, 16)]
     return found
 
 
+def _tables(text: str) -> _Taken:
+    """Where numbers stand in long runs."""
+    return _Taken([m.span() for m in _ANY_PHONE.finditer(text) if len(_digits(m[0])) > _TABLE])
+
+
 def canonical(kind: str, span: str) -> str:
     """The plain form that a disguised span stands for."""
     if kind == "email":
@@ -189,11 +224,13 @@ class _Taken:
         return (i > 0 and self._at[i - 1][1] >= end) or (i < len(self._at) and (self._at[i][0] == start or self._at[i][1] <= end))
 
 
-def _label(text: str, span: Span, base: dict[str, _Taken]) -> float | None:
-    """1: a base span of the kind lies in it or it in one; 0: not even its canonical form has one; else unknown."""
+def _label(text: str, span: Span, base: dict[str, _Taken], tables: _Taken) -> float | None:
+    """1: a base span of the kind lies in it or it in one; 0: part of a table, or not even its canonical form has one; else unknown."""
     kind, start, end = span
     if base[kind].nests(start, end):
         return 1.0
+    if not tables.free(start, end):
+        return 0.0
     plain = canonical(kind, text[start:end])
     tries = [plain, "+" + plain.lstrip("+ ")] if kind == "phone" else [plain]
     if kind == "phone":
@@ -265,7 +302,8 @@ def _training_rows(docs: DataFrame, text: str) -> DataFrame:
             for t in batch.column(0).to_pylist():
                 base = base_spans(t)
                 own_kind = {k: _Taken([(s, e) for x, s, e in base if x == k]) for k in KINDS}
-                labelled = [(t, c, _label(t, c, own_kind)) for c in candidates(t)]
+                tables = _tables(t)
+                labelled = [(t, c, _label(t, c, own_kind, tables)) for c in candidates(t)]
                 for kind, s, e in base:
                     if hidden := _disguised(kind, t[s:e]):
                         lo = max(0, s - 40)
@@ -277,15 +315,16 @@ def _training_rows(docs: DataFrame, text: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("hash", pa.int64()), ("kind", pa.string()), ("y", pa.float64()), ("x", pa.list_(pa.float64()))]))
 
-    return docs.select(text).mapInArrow(run, _FEATURES)
+    return docs.select(F.col(backticks(text))).mapInArrow(run, _FEATURES)
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> PiiModel:
-    some = docs.where(F.col(text).rlike(r"[0-9@]|[\[({]\s?[aA][tT]\s?[\])}]"))
-    # By whole rows, so that a text with very many copies cannot fill the sample. At most sample_docs documents; a document's candidates are fewer than its characters over seven.
-    found = written(_training_rows(sample_in_place(some, hashable(some), sample_docs).select(text), text), "candidates")
-    rows = sorted(tuple(r) for r in hashed_sample(found, ["hash", "x"], 10 * sample_docs).collect())
-    drop_written(found)
+def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> PiiModel:
+    own = F.col(backticks(text))
+    some = docs.where(own.rlike(r"[0-9@]|[\[({]\s?[aA][tT]\s?[\])}]"))
+    with Scratch(docs.sparkSession) as scratch:
+        # By whole rows, so that a text with very many copies cannot fill the sample.
+        found = scratch.write(_training_rows(sample_in_place(some, hashable(some), sample_docs), text), "candidates")
+        rows = sorted(tuple(r) for r in hashed_sample(found, ["hash", "x"], sample_candidates).collect())
     y = np.array([r[2] for r in rows])
     if len(rows) < LEAST_CANDIDATES or y.min() == y.max():
         return PiiModel(None, {})
@@ -305,29 +344,25 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
     return PiiModel(trees, thresholds)
 
 
-_FOUND = "spans array<struct<kind:string,start:int,end:int,base:boolean>>"
-
-
-def find(docs: DataFrame, model: PiiModel, text: str = "text", name: str = "spans") -> DataFrame:
-    """Append all spans of each text as structs (kind, start, end, base), by kind, then start; the text stays as it is."""
+def find(docs: DataFrame, model: PiiModel, text: str = "text", name: str = "spans", keep: Sequence[str] | None = None) -> DataFrame:
+    """Append all spans of each text as structs (kind, start, end, base), by kind, then start, to the kept columns (all by default)."""
     shared = docs.sparkSession.sparkContext.broadcast(_plain_model(model))
-    own = [c for c in docs.columns if c != name]
+    span = T.StructType.fromDDL("kind string, start int, end int, base boolean")
 
-    def run(batches):
+    def start():
         import pyarrow as pa
 
         ready = _model_of(shared.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        for batch in batches:
-            out = []
-            for t in batch.column(text).to_pylist():
-                base, every = ready.spans(t)
-                plain = set(base)
-                out.append([{"kind": k, "start": s, "end": e, "base": (k, s, e) in plain} for k, s, e in every])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(out, kind)], names=[*own, name])
-
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in own]).schema)
-    return docs.select(*[docs[c] for c in own]).mapInArrow(run, f"{schema}, {_FOUND.replace('spans', name, 1)}")
+
+        def one(t):
+            base, every = ready.spans(t)
+            plain = set(base)
+            return [{"kind": k, "start": s, "end": e, "base": (k, s, e) in plain} for k, s, e in every]
+
+        return lambda texts: [pa.array(list(map(one, texts)), kind)]
+
+    return append_columns(docs, keep, F.col(backticks(text)), [T.StructField(name, T.ArrayType(span))], start)
 
 
 def _plain_model(m: PiiModel) -> tuple:
