@@ -4,22 +4,23 @@ A text is the weighted set of its runs of five words (letters and digits, lower-
 being how often a run occurs; texts are linked if their weighted Jaccard similarity, sum of minima
 over sum of maxima, is at least 0.8. A class is a connected component of links.
 
-1. Equal texts are one from the start: everything below is per distinct text, keyed by a 64-bit hash.
+1. Equal texts are one from the start: everything below is per distinct text, keyed by a 64-bit hash. A task signs each text once.
 2. Every distinct text gets a DartMinHash signature and 96 bands of 8 coordinates. Texts that agree in all of a band's meet in
    a bucket; buckets with the same members count once (a count and sums tell, so no list is built).
-3. First, likely links: in a bucket, the text whose signature agrees with most others is paired with those, and so
-   on: fewer pairs than members. Their texts are fetched and compared exactly, and the links joined to components.
+3. First, likely links: the texts of a bucket (or of a block of it, if it is large) that the signatures hold for linked are
+   joined by a forest, fewer pairs than members and few for each text. Their texts are fetched and compared exactly, and the links joined to components.
 4. Then all the rest: every pair of a bucket that lies in different components and whose signatures' agreement is within 4
-   standard deviations of 0.8, once in the first band that it shares, is compared exactly too: in small buckets like the likely
-   ones, in large ones where they meet, with the texts at hand. A large bucket is cut into blocks that meet
-   pairwise in different tasks, so no task holds more than two blocks and only links leave it.
+   standard deviations of 0.8, once in the first band that it shares, is compared exactly too. A large bucket is cut into blocks that meet
+   pairwise in different tasks, signatures only, and the pairs found leave the task, their texts to be fetched. Where they are many more than the
+   texts, the two blocks meet again with their texts instead: pairs are compared in place, and one link for each pair of components leaves the task.
 5. Links are joined to classes by rounds of contraction, each written to the shared folder.
 
 A pair at similarity 0.8 is missed with a probability of about 2 in 10,000, at 0.82 of 3 in 100,000, at 0.85 of 1 in a million
 (simulated with these bands and independent coordinates).
 
 Defined results: null texts have no links and no copies: each row is its own class. Texts without a letter or digit are
-linked only to equal ones. Texts of one to four words have a single run, the whole text. The class id is the smallest document
+linked only to equal ones. Texts of one to four words have a single run, the whole text; texts of any length are compared as a whole.
+Ids may be of any type with an order. An empty table has no classes. Columns of the input are kept whatever their names, but for ``class_id``. The class id is the smallest document
 id in it; null ids count only where a class has no other, and then its id is null. Of each class one text stays, the one with the
 smallest id and, where texts share it, the smallest hash; of its rows, one. Rows with equal ids and texts fall together like other copies.
 """
@@ -27,26 +28,28 @@ smallest id and, where texts share it, the smallest hash; of its rows, one. Rows
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import drop_written, written
+from framekit.llm.common import Scratch, columns, written
 from framekit.llm.dart_minhash import COORDINATES, mix, signature
-from framekit.names import free_prefix
+from framekit.names import backticks, free_prefix
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_SIZE = 96, 8
 #: Least agreement of the signatures of a candidate, and of a likely link.
 _DEVIATION = (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 CANDIDATE, LIKELY = SIMILARITY - 4 * _DEVIATION, SIMILARITY - 0.5 * _DEVIATION
-#: Members of a block of a large bucket; keys that are broadcast to fetch texts (8 bytes each).
-BLOCK, BROADCAST_KEYS = 256, 1_000_000
-#: In buckets of more members, pairs are compared where they meet, so that their number reaches no shuffle.
-MANY = 2
-_CACHE = 300_000
+#: Members of a block of a large bucket and runs of words in it, on average; keys that are broadcast (some 30 bytes each).
+BLOCK, BLOCK_RUNS, BROADCAST_KEYS = 1024, 1 << 20, 1_000_000
+#: Likely links of one text in a block at most; pairs for each text of two blocks, from which on their texts meet instead.
+DEGREE, MANY = 64, 8
+#: Hashes of words, and keys of texts, that a task keeps.
+_CACHE, _SEEN = 300_000, 500_000
 _NOT_WORD = re.compile(r"[\W_]+")
 _U = np.uint64
 
@@ -106,33 +109,38 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
 
 
 def key_of(text: str) -> Column:
-    return F.xxhash64(F.col(text))
+    return F.xxhash64(F.col(backticks(text)))
 
 
 def _distinct(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """key, first (the smallest id) and the text's place-holder-free signature of every distinct text; null for one without words."""
+    """key, first (the smallest id), n rows, weight and signature of every distinct text; the last is null for one without words."""
 
     def run(batches):
         import pyarrow as pa
 
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for batch in batches:
-            keys, ids, weights, signs = [], [], [], []
-            for i, k, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
+            weights, signs = [], []
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if k in seen:
+                    # Signed before; the row only counts.
+                    weights.append(None)
+                    signs.append(None)
+                    continue
+                if len(seen) > _SEEN:
+                    seen.clear()
+                seen.add(k)
                 elements, counts = shingles(t, known)
-                keys.append(k)
-                ids.append(i)
                 weights.append(int(counts.sum()))
                 signs.append(signature(elements, counts.astype(np.float64)).tobytes() if len(elements) else None)
-            arrays = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(weights, pa.int64()), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "weight", "signature"])
-
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), key_of(text).alias("key"), F.col(text).alias("text"))
-    # Copies fall together before anything else is done with them; min is combined before the shuffle.
-    signed = rows.mapInArrow(run, "key long, doc_id long, weight long, signature binary")
-    return signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.min(F.struct("weight", "signature")).alias("s")).select(
-        "key", "first", F.col("s.weight").alias("weight"), F.col("s.signature").alias("signature")
-    )
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(weights, pa.int64()), pa.array(signs, pa.binary())], names=["key", "doc_id", "weight", "signature"])
+
+    own = F.col(backticks(text))
+    rows = docs.where(own.isNotNull()).select(F.col(backticks(doc_id)).alias("doc_id"), key_of(text).alias("key"), own.alias("text"))
+    kinds = T.StructType([T.StructField("key", T.LongType()), rows.schema["doc_id"], T.StructField("weight", T.LongType()), T.StructField("signature", T.BinaryType())])
+    # The largest: null where a row was not signed.
+    grouped = rows.mapInArrow(run, kinds).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.max(F.struct("weight", "signature")).alias("s"))
+    return grouped.select("key", "first", "n", F.col("s.weight").alias("weight"), F.col("s.signature").alias("signature"))
 
 
 def _bands(signed: DataFrame) -> DataFrame:
@@ -143,20 +151,25 @@ def _bands(signed: DataFrame) -> DataFrame:
             if batch.num_rows:
                 s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 h = band_hashes(s).astype(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(batch.column("key").to_numpy(), BANDS))], names=["bucket", "key"])
+                key, weight = (pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("key", "weight"))
+                yield pa.RecordBatch.from_arrays([pa.array(h), key, weight], names=["bucket", "key", "weight"])
 
-    return signed.select("key", "signature").mapInArrow(run, "bucket long, key long")
+    return signed.select("key", "weight", "signature").mapInArrow(run, "bucket long, key long, weight long")
 
 
-def _members(signed: DataFrame) -> DataFrame:
-    """(bucket, n, key) of the buckets of two texts and more, each set of members once: in the first band that gathers it."""
+def _members(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, blocks, key) of the buckets of two texts and more, each set of members once: in the first band that gathers it."""
+    banded = _bands(signed)
+    several = banded.groupBy("bucket").count().where("count > 1").select("bucket")
+    met = scratch.write(banded.join(_small(several, scratch), "bucket"), "met")
     mixed = F.xxhash64("key")
-    buckets = _bands(signed).groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64(mixed)).alias("y")
+    sets = met.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64(mixed)).alias("y"), F.sum("weight").alias("w")
     )
-    banded = F.struct(F.pmod("bucket", F.lit(BANDS)).alias("band"), "bucket")
-    once = buckets.where(F.col("low") < F.col("high")).groupBy("n", "low", "high", "x", "y").agg(F.min(banded).alias("b")).select("b.bucket", "n")
-    return _bands(signed).join(_small(once), "bucket").select("bucket", "n", "key")
+    first = F.struct(F.pmod("bucket", F.lit(BANDS)).alias("band"), "bucket")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_RUNS)).cast("int")
+    once = sets.groupBy("n", "low", "high", "x", "y", "w").agg(F.min(first).alias("b")).select("b.bucket", blocks.alias("blocks"))
+    return scratch.write(met.join(_small(once, scratch), "bucket").select("bucket", "blocks", "key"), "members")
 
 
 def _agreeing(i: int, other: np.ndarray, weights: np.ndarray, s: np.ndarray, least: float) -> np.ndarray:
@@ -164,74 +177,111 @@ def _agreeing(i: int, other: np.ndarray, weights: np.ndarray, s: np.ndarray, lea
     return near[(s[near] == s[i]).mean(axis=1) >= least]
 
 
-def _stars(keys: np.ndarray, weights: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that are likely links and connect what they can: the text with most neighbours takes these, and so on."""
-    near = [_agreeing(i, np.arange(len(keys)), weights, s, LIKELY) for i in range(len(keys))]
+def _forest(keys: np.ndarray, weights: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that are likely links and connect what likely links connect, but for ``DEGREE``; the same ones first in every bucket."""
     out, free = [], np.ones(len(keys), bool)
-    for i in sorted(range(len(keys)), key=lambda i: (-len(near[i]), keys[i])):
-        if free[i]:
-            mine = near[i][free[near[i]]]
-            out += [(i, j) for j in mine if j != i]
+    for first in np.argsort(keys):
+        waiting = [first] if free[first] else []
+        free[first] = False
+        for i in waiting:
+            mine = _agreeing(i, np.flatnonzero(free), weights, s, LIKELY)[:DEGREE]
+            out += [(i, j) for j in mine]
             free[mine] = False
+            waiting += list(mine)
     return out
 
 
-def _across(mine: np.ndarray, g: int, h: int, band: int, keys: np.ndarray, weights: np.ndarray, s: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of texts in different components that may be links and meet in this band first."""
+def _across(mine: np.ndarray, g: int, h: int, band: int, keys: np.ndarray, weights: np.ndarray, s: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A text and others in different components that may be links of it and meet it in this band first, every pair once."""
     left, right = np.flatnonzero(mine == g), np.flatnonzero(mine == h)
-    out = []
     for i in left:
         other = right[roots[right] != roots[i]]
         found = _agreeing(i, other[keys[other] > keys[i]] if g == h else other, weights, s, CANDIDATE)
         if len(found):
             shared = (s[found] == s[i])[:, _BAND_AT].all(axis=2)
-            out += [(i, j) for j in found[shared.argmax(axis=1) == band]]
-    return out
+            found = found[shared.argmax(axis=1) == band]
+        if len(found):
+            yield i, found
 
 
-def _candidates(members: DataFrame, signed: DataFrame, roots: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: likely links; or, given roots, every pair of texts with different roots that may be a link.
+def _links_between(pairs: Iterator[tuple[int, np.ndarray]], roots: np.ndarray, texts: Sequence[str]) -> list[tuple[int, int]]:
+    """Of the pairs that are links, one for each two components that they join."""
+    known, sets, parent = WordHashes(), {}, {}
 
-    Given the members' texts too, these pairs are compared exactly where they meet, and only links come out. A bucket of over BLOCK members is cut into blocks by hash. Stars are looked for within blocks; for all pairs, every
-    two blocks g <= h of a bucket meet in the task of (bucket, g, h).
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int")
-    if roots is None:
-        rooted = members.withColumn("root", F.col("key"))
-        at = F.array(F.struct(mine.alias("g"), mine.alias("h")))
-    else:
+    def find(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            parent[r] = r = parent.get(up, up)
+        return r
+
+    def of(i: int):
+        if i not in sets:
+            sets[i] = shingles(texts[i], known)
+        return sets[i]
+
+    out = []
+    for i, found in pairs:
+        for j in found:
+            a, b = find(int(roots[i])), find(int(roots[j]))
+            if a != b and weighted_jaccard(of(i), of(j)) >= SIMILARITY:
+                parent[a] = b
+                out.append((i, j))
+    return out
+
+
+def _met(members: DataFrame, signed: DataFrame, roots: DataFrame | None, every_two: bool) -> DataFrame:
+    """The members with their signatures, in (bucket, g, h): each in its own block's, or in every two blocks' of its bucket."""
+    mine = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
+    if every_two:
         rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
         rooted = rooted.join(open_, "bucket", "left_semi")
-        at = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
-    signs = signed.select("key", "weight", "signature")
-    rooted = rooted.join(signs, "key") if texts is None else rooted.join(signs, "key").join(texts, "key")
-    data = ["key", "weight", "signature", "root", *(["text"] if texts is not None else [])]
-    placed = rooted.select("bucket", mine.alias("mine"), F.explode(at).alias("at"), *data).select("bucket", "at.g", "at.h", "mine", *data)
-    stars, exact = roots is None, texts is not None
+        at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
+    else:
+        rooted = members.withColumn("root", F.col("key"))
+        at = F.array(F.struct(mine.alias("g"), mine.alias("h")))
+    data = ["key", "weight", "signature", "root"]
+    placed = rooted.join(signed.select("key", "weight", "signature"), "key").select("bucket", mine.alias("mine"), F.explode(at).alias("at"), *data)
+    return placed.select("bucket", "at.g", "at.h", "mine", *data)
+
+
+_PAIRS = "a long, b long, bucket long, g int, h int"
+
+
+def _compared(met: DataFrame, what: str) -> DataFrame:
+    """Pairs (a, b), a < b, of the texts that meet.
+
+    ``what``: "forest", likely links; "pairs", all that may be links, or none but (bucket, g, h) where they are too many;
+    "links", links, which needs the column ``text``.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        known = WordHashes()
-
         def compare(rows):
             where, mine, keys, weights, s, roots, *text = zip(*rows, strict=True)
-            keys, weights = np.array(keys, np.int64), np.array(weights, np.float64)
+            keys, weights, roots = np.array(keys, np.int64), np.array(weights, np.float64), np.array(roots, np.int64)
             s = np.frombuffer(b"".join(s), np.uint16).reshape(-1, COORDINATES)
             bucket, g, h = where[0]
-            pairs = _stars(keys, weights, s) if stars else _across(np.array(mine), g, h, bucket % BANDS, keys, weights, s, np.array(roots, np.int64))
-            if exact:
-                sets: dict = {}
-                of = lambda i: sets.get(i) or sets.setdefault(i, shingles(text[0][i], known))
-                pairs = [(i, j) for i, j in pairs if weighted_jaccard(of(i), of(j)) >= SIMILARITY]
+            if what == "forest":
+                pairs = _forest(keys, weights, s)
+            else:
+                found = _across(np.array(mine), g, h, bucket % BANDS, keys, weights, s, roots)
+                if what == "links":
+                    pairs = _links_between(found, roots, text[0])
+                else:
+                    pairs = []
+                    for i, others in found:
+                        pairs += [(i, j) for j in others]
+                        if len(pairs) > MANY * len(keys):
+                            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, bucket, g, h), kinds, strict=True)], names=names)
             ends = keys[np.array(pairs, np.int64).reshape(-1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
+            none = [pa.nulls(len(ends), t) for t in kinds[2:]]
+            return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), *none], names=names)
 
+        kinds, names = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["a", "b", "bucket", "g", "h"]
         held: list = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "g", "h", "mine", *data)]
+            cols = [c.to_pylist() for c in batch.columns]
             for b, g, h, *rest in zip(*cols, strict=True):
                 if held and held[0][0] != (b, g, h):
                     yield compare(held)
@@ -240,19 +290,19 @@ def _candidates(members: DataFrame, signed: DataFrame, roots: DataFrame | None =
         if held:
             yield compare(held)
 
-    spread = placed.repartition("bucket", "g", "h").sortWithinPartitions("bucket", "g", "h")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return met.repartition("bucket", "g", "h").sortWithinPartitions("bucket", "g", "h").mapInArrow(run, _PAIRS)
 
 
-def _texts(docs: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, text: str, keys: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, text) of the distinct keys of a table with the column ``key``."""
-    found = docs.select(key_of(text).alias("key"), F.col(text).alias("text")).join(_small(keys.select("key").distinct()), "key", "left_semi")
-    return found.groupBy("key").agg(F.min("text").alias("text"))
+    found = docs.select(key_of(text).alias("key"), F.col(backticks(text)).alias("text")).join(_small(keys.select("key").distinct(), scratch), "key", "left_semi")
+    # Written, so that a join with a key that has many pairs can be split at run time.
+    return scratch.write(found.groupBy("key").agg(F.min("text").alias("text")), "texts")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """The pairs whose texts are similar enough."""
-    texts = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    texts = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("key")), scratch)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -264,94 +314,107 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
             yield found.filter(pa.array([s >= SIMILARITY for s in sims], pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    out = scratch.write(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "verified")
+    scratch.drop(texts)
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, root): one key of each key's connected component as its root, for all keys in links (a, b).
 
     In each round every key takes its smallest neighbour as label, and that one's label in turn; links
     then join labels, those within a label vanish, and the next round works on what is left, far less each time.
     """
-    links = written(links.select("a", "b").distinct(), "links")
+    links = scratch.write(links.select("a", "b").distinct(), "links")
     roots = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
+        lowest = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
         via = lowest.select(F.col("a").alias("low"), F.col("low").alias("lower"))
-        step = written(lowest.join(via, "low").select(F.col("a").alias("key"), F.col("lower").alias("root")), "step")
+        step = scratch.write(lowest.join(via, "low").select(F.col("a").alias("key"), F.col("lower").alias("root")), "step")
         named = lambda c: step.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))
         x, y = F.col("root_a"), F.col("root_b")
         left = links.join(named("a"), "a").join(named("b"), "b").where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-        following = written(left, "links")
+        following = scratch.write(left, "links")
         if roots is None:
             roots = step
         else:
             on = step.select(F.col("key").alias("root"), F.col("root").alias("next"))
-            roots = written(roots.join(on, "root", "left").select("key", F.coalesce("next", "root").alias("root")), "roots")
-        drop_written(lowest)
-        drop_written(links)
+            done, roots = roots, scratch.write(roots.join(on, "root", "left").select("key", F.coalesce("next", "root").alias("root")), "roots")
+            scratch.drop(done)
+            scratch.drop(step)
+        scratch.drop(lowest)
+        scratch.drop(links)
         links = following
         if links.isEmpty():
             return roots
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """key, first (smallest id with the text), class_id and stays (true for one text of each class) of each distinct text."""
-    every = written(_distinct(docs, text, doc_id), "signatures")
-    signed = every.where(F.col("signature").isNotNull())
-    members = written(_members(signed), "members")
-    likely = written(_candidates(members, signed, None), "likely")
-    links = written(_verified(likely, docs, text), "verified")
-    roots = components(links)
-    few, many = members.where(F.col("n") <= MANY), members.where(F.col("n") > MANY)
-    others = _candidates(few, signed, roots).join(likely, ["a", "b"], "left_anti")
-    rest = written(_verified(written(others, "candidates"), docs, text), "verified")
-    within = written(_candidates(many, signed, roots, _texts(docs, text, many)), "within")
-    linked = components(links.unionByName(rest).unionByName(within)).join(signed.select("key", "first"), "key")
-    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
-    lowest = linked.groupBy("root").agg(best.alias("best")).select("root", F.col("best.first").alias("class_id"), F.col("best.key").alias("survivor"))
-    named = linked.join(lowest, "root").select("key", "class_id", (F.col("key") == F.col("survivor")).alias("stays"))
-    return every.select("key", "first").join(named, "key", "left").select(
-        "key", "first", F.when(F.col("stays").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("stays", F.lit(True)).alias("stays")
-    )
+    """key, first (smallest id with the text), n (rows with it), class_id and stays (true for one text of each class) of each distinct text.
+
+    Written to the shared folder, where whatever is made of it reads it.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        every = scratch.write(_distinct(docs, text, doc_id), "signatures")
+        signed = every.where(F.col("signature").isNotNull())
+        members = _members(signed, scratch)
+        likely = scratch.write(_compared(_met(members, signed, None, False), "forest").select("a", "b").distinct(), "likely")
+        links = _verified(likely, docs, text, scratch)
+        roots = components(links, scratch)
+        met = _met(members, signed, roots, True)
+        found = scratch.write(_compared(met, "pairs"), "pairs")
+        pairs = scratch.write(found.where(F.col("a").isNotNull()).select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "candidates")
+        links = links.unionByName(_verified(pairs, docs, text, scratch))
+        many = found.where(F.col("a").isNull()).select("bucket", "g", "h")
+        if not many.isEmpty():
+            again = met.join(_small(many, scratch), ["bucket", "g", "h"], "left_semi")
+            full = again.join(_texts(docs, text, again, scratch), "key").select(*met.columns, "text")
+            links = links.unionByName(scratch.write(_compared(full, "links").select("a", "b"), "between"))
+        linked = scratch.write(components(links, scratch).join(signed.select("key", "first"), "key"), "linked")
+        best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
+        lowest = linked.groupBy("root").agg(best.alias("best")).select("root", F.col("best.first").alias("class_id"), F.col("best.key").alias("survivor"))
+        named = linked.join(_small(lowest, scratch), "root").select("key", "class_id", (F.col("key") == F.col("survivor")).alias("stays"))
+        of = every.select("key", "first", "n").join(named, "key", "left")
+        alone = F.col("stays").isNull()
+        return written(of.select("key", "first", "n", F.when(alone, F.col("first")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("stays", F.lit(True)).alias("stays")), "classes")
 
 
 def with_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The kept columns (all by default) with the class_id of every row."""
     p = free_prefix([*docs.columns, "class_id"])
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "class_id"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "class_id"]
     of = classes(docs, text, doc_id).select(F.col("key").alias(f"{p}key"), "class_id")
     # A null text's key is null, and meets no class.
-    rows = docs.select(*[docs[c] for c in kept], F.col(doc_id).cast("long").alias(f"{p}id"), F.when(F.col(text).isNotNull(), key_of(text)).alias(f"{p}key"))
-    return rows.join(of, f"{p}key", "left").select(*kept, F.coalesce("class_id", F.col(f"{p}id")).alias("class_id"))
+    rows = docs.select(*columns(docs, kept), F.col(backticks(doc_id)).alias(f"{p}id"), _own_key(text).alias(f"{p}key"))
+    return rows.join(of, f"{p}key", "left").select(*columns(docs, kept), F.coalesce("class_id", F.col(f"{p}id")).alias("class_id"))
+
+
+def _own_key(text: str) -> Column:
+    return F.when(F.col(backticks(text)).isNotNull(), key_of(text))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each class, the one with the smallest id; all rows without a text stay.
 
-    Only the texts of classes are looked at again: a row stays if its text and id are its class's first. Rows that agree in id and
+    Only what is decided about texts of classes and texts with copies is looked up. Rows that agree in id and
     text as well are told apart by their partition and place, and one of them stays.
     """
     p = free_prefix(docs.columns)
-    key, cls, first, n = f"{p}key", f"{p}class", f"{p}first", f"{p}n"
-    of = written(classes(docs, text, doc_id), "classes")
-    # A text goes if it isn't the one of its class that stays, or has copies (then only its first row stays).
-    gone = of.where(~F.col("stays")).select(F.col("key").alias(key))
-    own = F.when(F.col(text).isNotNull(), key_of(text))
-    kept = docs.withColumn(key, own).join(_small(gone), key, "left_anti")
-    counts = docs.select(own.alias(key), F.col(doc_id).alias(first)).groupBy(key).agg(F.count("*").alias(n), F.min(first).alias(first))
-    copied = counts.where(F.col(n) > 1).join(of.select(F.col("key").alias(key)), key, "left_semi").select(key, first, n)
-    marked = kept.join(_small(copied), key, "left")
-    unique = marked.where(F.col(n).isNull() | F.col(doc_id).eqNullSafe(F.col(first)))
-    # Rows repeated with id and text: few or none; only those with copies are dealt again.
-    again = Window.partitionBy(key, doc_id).orderBy(F.monotonically_increasing_id())
-    single = unique.where(F.col(n).isNull())
-    firsts = unique.where(F.col(n).isNotNull()).withColumn(n, F.row_number().over(again)).where(F.col(n) == 1)
-    return single.select(*docs.columns).unionByName(firsts.select(*docs.columns))
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    """Broadcast up to a checked number of keys; beyond it, joined by shuffle."""
-    ready = written(keys, "keys")
+    key, first, n, stays = f"{p}key", f"{p}first", f"{p}n", f"{p}stays"
+    of = classes(docs, text, doc_id).where(~F.col("stays") | (F.col("n") > 1))
+    decided = _small(of.select(F.col("key").alias(key), F.col("first").alias(first), F.col("n").alias(n), F.col("stays").alias(stays)))
+    own = F.col(backticks(doc_id))
+    marked = docs.withColumn(key, _own_key(text)).join(decided, key, "left")
+    # A text goes if it isn't the one of its class that stays; if it has copies, only its first row stays.
+    kept = marked.where(F.col(stays).isNull() | (F.col(stays) & own.eqNullSafe(F.col(first))))
+    again = Window.partitionBy(key, own).orderBy(F.monotonically_increasing_id())
+    single = kept.where(F.coalesce(F.col(n), F.lit(1)) == 1)
+    firsts = kept.where(F.col(n) > 1).withColumn(n, F.row_number().over(again)).where(F.col(n) == 1)
+    return single.select(*columns(docs)).unionByName(firsts.select(*columns(docs)))
+
+
+def _small(keys: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Broadcast up to a checked number of rows; beyond it, joined by shuffle."""
+    ready = written(keys, "keys") if scratch is None else scratch.write(keys, "keys")
     return F.broadcast(ready) if ready.count() <= BROADCAST_KEYS else ready

@@ -7,6 +7,7 @@ import pytest
 from oracle import DATA
 
 from framekit.llm import near_dup, queries
+from framekit.llm.common import Scratch
 from framekit.llm.dart_minhash import COORDINATES, signature
 from framekit.llm.near_dup import WordHashes, shingles, weighted_jaccard
 
@@ -24,13 +25,15 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r.key: r.root for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.key: r.root for r in near_dup.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got.keys() == parent.keys()
     by = defaultdict(set)
     for k in parent:
         by[find(k)].add(got[k])
     assert all(len(v) == 1 for v in by.values()) and len({*got.values()}) == len(by)
-    assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with Scratch(spark) as scratch:
+        assert near_dup.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
 
 
 @pytest.mark.parametrize("weights", ["ones", "counts", "reals"])
@@ -97,8 +100,12 @@ def near_group(n, words=120, seed=5):
     return out
 
 
-def test_large_group_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
+@pytest.mark.parametrize(("block", "many", "degree"), [(16, 8, 64), (16, 0, 2), (1024, 0, 64), (8, 1, 1)])
+def test_large_group_in_blocks(spark, monkeypatch, block, many, degree):
+    """Pairs that leave the blocks, and links found in them; both must find every class."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "MANY", many)
+    monkeypatch.setattr(near_dup, "DEGREE", degree)
     rows = list(enumerate(near_group(120) + near_group(30, seed=6)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dup.with_classes(df).collect()} == brute_classes(rows)
