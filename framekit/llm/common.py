@@ -15,6 +15,8 @@ from framekit.names import backticks, free_prefix
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 64
 #: A bucket is looked through for rows with equal hashes, and these are split, from so many rows on.
 CROWDED = 4 * BUCKET_ROWS
+#: Rows of a table that is broadcast, of some 30 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 def columns(df: DataFrame, names: Iterable[str] | None = None) -> list[Column]:
@@ -93,6 +95,12 @@ class Scratch:
             self.drop(df)
 
 
+def small(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """A narrow table, written; broadcast in joins if it has at most ``BROADCAST_ROWS`` rows, joined by shuffle beyond."""
+    ready = written(df, "keys") if scratch is None else scratch.write(df, "keys")
+    return F.broadcast(ready) if ready.count() <= BROADCAST_ROWS else ready
+
+
 def number_within(df: DataFrame, name: str, by: Sequence[str], hashed: Column, order: Sequence[str | Column]) -> DataFrame:
     """Append gapless numbers from 0 within each group of ``by``, in the order of (hashed, order), however large the group.
 

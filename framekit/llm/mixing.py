@@ -139,9 +139,9 @@ def _laid(df: DataFrame, weights: list[int], rows: list[int], block_rows: int) -
 
 
 def mix(
-    df: DataFrame, source: str, targets: Mapping[str, float], other: float, identity: Sequence[str], block_rows: int = BLOCK_ROWS, hashed: Column | None = None
+    df: DataFrame, source: str, targets: Mapping[str, float], other: float, identity: Sequence[str], block_rows: int = BLOCK_ROWS, hashed: Column | None = None, prefix: str = ""
 ) -> DataFrame:
-    """Append block (of its source), slot and position (gapless from 0) to every row.
+    """Append block (of its source), slot and position (gapless from 0), their names after the prefix, to every row.
 
     ``targets``: weights of named sources; ``other``: of the pool of all others. ``identity``:
     columns whose hash (``hashed``, a long, if given) orders the rows of a source and spreads their numbering.
@@ -150,9 +150,14 @@ def mix(
         raise ValueError("give weights over 0")
     names = sorted(targets)
     weights = _integer([targets[k] for k in names] + [other])
-    mark = free_prefix([*df.columns, "position"])
+    mark = free_prefix([*df.columns, f"{prefix}position"])
     pool, rank, block = f"{mark}pool", f"{mark}rank", f"{mark}block"
-    kept = [c for c in df.columns if c not in ("block", "slot", "position")]
+    made = [prefix + n for n in ("block", "slot", "position")]
+    kept = [c for c in df.columns if c.lower() not in made]
+
+    def result(out: DataFrame, slot: str, position: Column) -> DataFrame:
+        return out.select(*columns(df, kept), *(c.alias(n) for c, n in zip((F.col(block), F.col(slot), position.cast("long")), made, strict=True)))
+
     spark = df.sparkSession
     if len(names) <= 100:
         listed = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
@@ -173,7 +178,7 @@ def mix(
     if sum(weights[s] for s in present) * len(present) > MAX_SLOTS:
         laid = _laid(df, weights, rows, block_rows).select(F.col("pool").alias(pool), F.col("block").alias(block), F.col("slot").alias(f"{mark}slot"), F.col("start").alias(f"{mark}start"))
         out = numbered.join(laid, [pool, block])
-        return out.select(*columns(df, kept), F.col(block).alias("block"), F.col(f"{mark}slot").alias("slot"), (F.col(f"{mark}start") + within).cast("long").alias("position"))
+        return result(out, f"{mark}slot", F.col(f"{mark}start") + within)
     blocks = [-(-n // block_rows) for n in rows]
     plan = phases(weights, blocks)
     # Tables of at most MAX_SLOTS rows: one for each pool, and one for each phase, pool and place in the period.
@@ -192,8 +197,7 @@ def mix(
     # The last block of a source may be short; later positions move up by what it lacks.
     short = [(next(p for p in reversed(plan) if s in p.start).slot(s, blocks[s] - 1), blocks[s] * block_rows - rows[s]) for s in present]
     lacking = sum((F.when(F.col(slot) > at, n).otherwise(0) for at, n in short if n), F.lit(0))
-    position = F.col(slot) * block_rows + within - lacking
-    return out.select(*columns(df, kept), F.col(block).alias("block"), F.col(slot).alias("slot"), position.cast("long").alias("position"))
+    return result(out, slot, F.col(slot) * block_rows + within - lacking)
 
 
 def ordered(df: DataFrame, position: str = "position", file_bytes: int = FILE_BYTES) -> DataFrame:

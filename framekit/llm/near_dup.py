@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import Scratch, columns, written
+from framekit.llm.common import Scratch, columns, small, written
 from framekit.llm.dart_minhash import COORDINATES, mix, signature
 from framekit.names import backticks, free_prefix
 
@@ -44,8 +44,8 @@ BANDS, BAND_SIZE = 96, 8
 #: Least agreement of the signatures of a candidate, and of a likely link.
 _DEVIATION = (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 CANDIDATE, LIKELY = SIMILARITY - 4 * _DEVIATION, SIMILARITY - 0.5 * _DEVIATION
-#: Members of a block of a large bucket and runs of words in it, on average; keys that are broadcast (some 30 bytes each).
-BLOCK, BLOCK_RUNS, BROADCAST_KEYS = 1024, 1 << 20, 1_000_000
+#: Members of a block of a large bucket and runs of words in it, on average.
+BLOCK, BLOCK_RUNS = 1024, 1 << 20
 #: Likely links of one text in a block at most; pairs for each text of two blocks, from which on their texts meet instead.
 DEGREE, MANY = 64, 8
 #: Hashes of words, and keys of texts, that a task keeps.
@@ -161,7 +161,7 @@ def _members(signed: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, blocks, key) of the buckets of two texts and more, each set of members once: in the first band that gathers it."""
     banded = _bands(signed)
     several = banded.groupBy("bucket").count().where("count > 1").select("bucket")
-    met = scratch.write(banded.join(_small(several, scratch), "bucket"), "met")
+    met = scratch.write(banded.join(small(several, scratch), "bucket"), "met")
     mixed = F.xxhash64("key")
     sets = met.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64(mixed)).alias("y"), F.sum("weight").alias("w")
@@ -169,7 +169,7 @@ def _members(signed: DataFrame, scratch: Scratch) -> DataFrame:
     first = F.struct(F.pmod("bucket", F.lit(BANDS)).alias("band"), "bucket")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_RUNS)).cast("int")
     once = sets.groupBy("n", "low", "high", "x", "y", "w").agg(F.min(first).alias("b")).select("b.bucket", blocks.alias("blocks"))
-    return scratch.write(met.join(_small(once, scratch), "bucket").select("bucket", "blocks", "key"), "members")
+    return scratch.write(met.join(small(once, scratch), "bucket").select("bucket", "blocks", "key"), "members")
 
 
 def _agreeing(i: int, other: np.ndarray, weights: np.ndarray, s: np.ndarray, least: float) -> np.ndarray:
@@ -295,7 +295,7 @@ def _compared(met: DataFrame, what: str) -> DataFrame:
 
 def _texts(docs: DataFrame, text: str, keys: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, text) of the distinct keys of a table with the column ``key``."""
-    found = docs.select(key_of(text).alias("key"), F.col(backticks(text)).alias("text")).join(_small(keys.select("key").distinct(), scratch), "key", "left_semi")
+    found = docs.select(key_of(text).alias("key"), F.col(backticks(text)).alias("text")).join(small(keys.select("key").distinct(), scratch), "key", "left_semi")
     # Written, so that a join with a key that has many pairs can be split at run time.
     return scratch.write(found.groupBy("key").agg(F.min("text").alias("text")), "texts")
 
@@ -368,13 +368,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         links = links.unionByName(_verified(pairs, docs, text, scratch))
         many = found.where(F.col("a").isNull()).select("bucket", "g", "h")
         if not many.isEmpty():
-            again = met.join(_small(many, scratch), ["bucket", "g", "h"], "left_semi")
+            again = met.join(small(many, scratch), ["bucket", "g", "h"], "left_semi")
             full = again.join(_texts(docs, text, again, scratch), "key").select(*met.columns, "text")
             links = links.unionByName(scratch.write(_compared(full, "links").select("a", "b"), "between"))
         linked = scratch.write(components(links, scratch).join(signed.select("key", "first"), "key"), "linked")
         best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
         lowest = linked.groupBy("root").agg(best.alias("best")).select("root", F.col("best.first").alias("class_id"), F.col("best.key").alias("survivor"))
-        named = linked.join(_small(lowest, scratch), "root").select("key", "class_id", (F.col("key") == F.col("survivor")).alias("stays"))
+        named = linked.join(small(lowest, scratch), "root").select("key", "class_id", (F.col("key") == F.col("survivor")).alias("stays"))
         of = every.select("key", "first", "n").join(named, "key", "left")
         alone = F.col("stays").isNull()
         return written(of.select("key", "first", "n", F.when(alone, F.col("first")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("stays", F.lit(True)).alias("stays")), "classes")
@@ -403,7 +403,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     p = free_prefix(docs.columns)
     key, first, n, stays = f"{p}key", f"{p}first", f"{p}n", f"{p}stays"
     of = classes(docs, text, doc_id).where(~F.col("stays") | (F.col("n") > 1))
-    decided = _small(of.select(F.col("key").alias(key), F.col("first").alias(first), F.col("n").alias(n), F.col("stays").alias(stays)))
+    decided = small(of.select(F.col("key").alias(key), F.col("first").alias(first), F.col("n").alias(n), F.col("stays").alias(stays)))
     own = F.col(backticks(doc_id))
     marked = docs.withColumn(key, _own_key(text)).join(decided, key, "left")
     # A text goes if it isn't the one of its class that stays; if it has copies, only its first row stays.
@@ -412,9 +412,3 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     single = kept.where(F.coalesce(F.col(n), F.lit(1)) == 1)
     firsts = kept.where(F.col(n) > 1).withColumn(n, F.row_number().over(again)).where(F.col(n) == 1)
     return single.select(*columns(docs)).unionByName(firsts.select(*columns(docs)))
-
-
-def _small(keys: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Broadcast up to a checked number of rows; beyond it, joined by shuffle."""
-    ready = written(keys, "keys") if scratch is None else scratch.write(keys, "keys")
-    return F.broadcast(ready) if ready.count() <= BROADCAST_KEYS else ready

@@ -241,9 +241,9 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
     return QualityModel(labels, fit_linear(x, p))
 
 
-def classify(docs: DataFrame, model: QualityModel, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """Append posterior (of the votes), score and accepted to the kept columns (all by default)."""
-    made = [T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+def classify(docs: DataFrame, model: QualityModel, text: str = "text", keep: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
+    """Append posterior (of the votes), score and accepted, their names after the prefix, to the kept columns (all by default)."""
+    made = [T.StructField(prefix + n, kind) for n, kind in (("posterior", T.DoubleType()), ("score", T.DoubleType()), ("accepted", T.BooleanType()))]
     labels, weights = model.labels, model.weights
     shared = docs.sparkSession.sparkContext.broadcast((None if labels is None else (labels.rates, labels.good), weights))
 

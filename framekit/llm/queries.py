@@ -145,11 +145,25 @@ def op5_near_dup(spark, d):
 # Decontamination
 
 
-@_query()
+_TOKENS = r"list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@_query(
+    rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TOKENS} AS tokens FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {_TOKENS} AS tokens FROM benchmark),
+p AS (SELECT row, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS at FROM d),
+q AS (SELECT item, least(len(tokens), 13) AS size, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS at FROM i),
+m AS (SELECT row, item, size, q.at, p.at - q.at AS shift FROM p JOIN q USING (token)),
+g AS (SELECT row, item, shift, CASE WHEN size < 11 THEN size ELSE size - least(2, size // 6) END AS least_equal FROM m GROUP BY row, item, shift, size
+  HAVING COUNT(*) >= CASE WHEN size < 11 THEN size ELSE size - least(2, size // 6) END),
+w AS (SELECT m.row, m.item, least_equal, COUNT(*) OVER (PARTITION BY m.row, m.item, m.shift ORDER BY m.at RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS equal
+  FROM m JOIN g ON m.row = g.row AND m.item = g.item AND m.shift = g.shift)
+SELECT doc_id, item_id, MAX(equal)::INT AS matched FROM w JOIN d USING (row) JOIN i USING (item) WHERE equal >= least_equal GROUP BY doc_id, item_id"""
+)
 def op6_decontamination(spark, d):
     """Every overlap of a document with a benchmark item."""
     found = decontaminate.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.sum("hits").alias("hits"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 # Language model

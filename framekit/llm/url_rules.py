@@ -7,12 +7,12 @@ rules in one sweep that keeps the stack of intervals open at the current key; at
 rule with the longest path that starts the URL's path is looked up. The longest of all wins.
 
 Each task sorts its own URLs (Spark spills where needed), so URLs are never shuffled and one host may hold any
-share of them. Rules are broadcast in sorted runs of at most ``RULES_AT_ONCE``; a longer list is swept run
-by run, with the table between two runs written to the shared folder, so memory does not grow with the list.
+share of them. Rules are broadcast in sorted runs of at most ``RULES_AT_ONCE`` rules or ``CHARS_AT_ONCE`` characters (or one rule, if it
+is longer); a longer list is swept run by run, with the table between two runs written to the shared folder, so memory does not grow with the list.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; no rule fits an
-empty host. Only A-Z are lower-cased. Equal URLs get equal verdicts. Columns of the input are kept, but for
-those with the names of the five that are added.
+empty host. Only A-Z are lower-cased. URLs of any length are read from end to end; equal URLs get equal verdicts, and repeated
+rows stay. An empty table gives an empty table. Columns of the input are kept whatever their names, but for those with the names of the four that are added.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framekit.llm.common import written
+from framekit.llm.common import columns, written
+from framekit.names import backticks, free_prefix
 
 ALLOW, BLOCK = "allow", "block"
-#: Rules in one broadcast; with hosts and paths of at most MAX_RULE_CHARS characters a run stays under 200 MB.
-RULES_AT_ONCE, MAX_RULE_CHARS = 200_000, 1000
+#: Rules in one broadcast, and characters of their hosts and paths.
+RULES_AT_ONCE, CHARS_AT_ONCE = 200_000, 50_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,7 +39,7 @@ class Rule:
     path: str = "/"
 
     def __post_init__(self) -> None:
-        if self.verdict not in (ALLOW, BLOCK) or not self.host or len(self.host) + len(self.path) > MAX_RULE_CHARS:
+        if self.verdict not in (ALLOW, BLOCK) or not self.host:
             raise ValueError(f"bad rule {self}")
 
     @property
@@ -102,31 +103,48 @@ def sweep(levels: list[_Level], rows: Iterable[tuple[str, str]]) -> Iterator[Rul
         yield max(fits, key=lambda r: (len(r.name), len(r.host)), default=None)
 
 
-def _swept(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add the best of these rules to a table with key and path, keeping a better one found before."""
+def _runs(rules: Iterable[Rule]) -> Iterator[list[Rule]]:
+    """The rules in the order of their keys, cut into runs."""
+    run: list[Rule] = []
+    chars = 0
+    for r in sorted(rules, key=lambda r: (host_key(r.host), r.path)):
+        if run and (len(run) == RULES_AT_ONCE or chars + len(r.name) > CHARS_AT_ONCE):
+            yield run
+            run, chars = [], 0
+        run.append(r)
+        chars += len(r.name)
+    if run:
+        yield run
+
+
+def _swept(df: DataFrame, rules: list[Rule], names: dict[str, str]) -> DataFrame:
+    """Add the best of these rules to a table with key and path, keeping a better one found before; ``names`` of its own columns."""
     shared = df.sparkSession.sparkContext.broadcast([(r.verdict, r.host, r.path) for r in rules])
+    found_ = [names[n] for n in ("rule", "verdict", "rule_host")]
 
     def run(batches):
         import pyarrow as pa
 
         def keys():
             for batch in batches:
-                ahead.append(batch)
-                yield from zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True)
+                # A batch without rows would never be reached from its first one.
+                if batch.num_rows:
+                    ahead.append(batch)
+                    yield from zip(batch.column(names["key"]).to_pylist(), batch.column(names["path"]).to_pylist(), strict=True)
 
         ahead: list = []
         found = sweep(_levels(shared.value), keys())
         for first in found:
             batch = ahead.pop(0)
             best = [first, *(next(found) for _ in range(batch.num_rows - 1))]
-            old = zip(batch.column("rule").to_pylist(), batch.column("verdict").to_pylist(), batch.column("rule_host").to_pylist(), strict=True)
+            old = zip(*(batch.column(n).to_pylist() for n in found_), strict=True)
             new = [o if r is None or (o[0] is not None and (len(o[0]), len(o[2])) > (len(r.name), len(r.host))) else (r.name, r.verdict, r.host) for r, o in zip(best, old, strict=True)]
-            cols = dict(zip(("rule", "verdict", "rule_host"), zip(*new, strict=True), strict=True))
+            cols = dict(zip(found_, zip(*new, strict=True), strict=True))
             arrays = [pa.array(cols[n], pa.string()) if n in cols else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
     # Code point order of Python's strings is the byte order of Spark's.
-    return df.sortWithinPartitions("key").mapInArrow(run, df.schema)
+    return df.sortWithinPartitions(names["key"]).mapInArrow(run, df.schema)
 
 
 def judge(df: DataFrame, url: str, rules: Iterable[Rule], default: str = ALLOW, keep: Iterable[str] | None = None) -> DataFrame:
@@ -134,14 +152,16 @@ def judge(df: DataFrame, url: str, rules: Iterable[Rule], default: str = ALLOW,
 
     ``keep``: columns of the input to carry along; all by default.
     """
-    made = ("host", "path", "rule", "verdict", "key", "rule_host")
-    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
-    out = df.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    made = ("host", "path", "rule", "verdict")
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
+    mark = free_prefix([*df.columns, *made])
+    names = {n: mark + n for n in (*made, "key", "rule_host")}
+    at = F.col(backticks(url))
+    out = df.select(*columns(df, kept), host_of(at).alias(names["host"]), path_of(at).alias(names["path"]))
     none = F.lit(None).cast("string")
-    reverse = F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "."), F.lit("."))
-    out = out.select("*", reverse.alias("key"), none.alias("rule"), none.alias("verdict"), none.alias("rule_host"))
-    ordered = sorted(rules, key=lambda r: (host_key(r.host), r.path))
-    runs = [ordered[i : i + RULES_AT_ONCE] for i in range(0, len(ordered), RULES_AT_ONCE)]
-    for i, part in enumerate(runs):
-        out = _swept(out if i == 0 else written(out, "urls"), part)
-    return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    reverse = F.concat(F.array_join(F.reverse(F.split(names["host"], r"\.", -1)), "."), F.lit("."))
+    out = out.select("*", reverse.alias(names["key"]), *(none.alias(names[n]) for n in ("rule", "verdict", "rule_host")))
+    for i, part in enumerate(_runs(rules)):
+        out = _swept(out if i == 0 else written(out, "urls"), part, names)
+    verdict = F.coalesce(names["verdict"], F.lit(default)).alias("verdict")
+    return out.select(*columns(out, kept), *(F.col(names[n]).alias(n) for n in ("host", "path", "rule")), verdict)
