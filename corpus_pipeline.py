@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: what is worth keeping, once, clean, mixed and sharded."""
+"""A training-data pipeline over ``documents``: what is worth keeping, once, clean, mixed and sharded.
+
+Defined results, for every stage: an empty table stays empty; null and empty texts are rejected by the first stage, and where one
+reaches another stage it is kept, as nothing copies or overlaps it; texts of any length are read from end to end; columns beyond those of
+``documents`` are carried along whatever their names, but for ``shard``, which the last stage replaces; repeated rows are one row after the second
+stage, and ties are broken by id, then by text. A null id is an id like others, the last among copies; a null source belongs to the other sources.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framekit.llm import decontaminate, mixing, near_dup, quality, sharding
-from framekit.llm.common import written
+from framekit.llm.common import Scratch, columns, written
 from framekit.llm.queries import MIX, MIX_OTHER, SHARDS, table
 from framekit.names import free_prefix
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
-    judged = quality.classify(docs, quality.train(docs))
-    return judged.where("accepted").select(*docs.columns)
+    # The verdict comes under names that no column of the documents has.
+    mark = free_prefix(docs.columns)
+    return quality.classify(docs, quality.train(docs), prefix=mark).where(f"{mark}accepted").select(*columns(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +36,10 @@ def keep_off_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture within and between the files of the result."""
-    mark = free_prefix(docs.columns) + "text_hash"
-    mixed = mixing.mix(docs.withColumn(mark, F.xxhash64("text")), "source", MIX, MIX_OTHER, ["doc_id", mark])
-    return mixing.ordered(mixed).select(*docs.columns)
+    mark = free_prefix(docs.columns)
+    hashed = docs.withColumn(f"{mark}text", F.xxhash64("text"))
+    mixed = mixing.mix(hashed, "source", MIX, MIX_OTHER, ["doc_id", f"{mark}text"], prefix=mark)
+    return mixing.ordered(mixed, f"{mark}position").select(*columns(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    with Scratch(spark) as scratch:
+        for i, (name, stage) in enumerate(STAGES[:-2]):
+            before, docs = docs, scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+            if i:
+                scratch.drop(before)
+        # The result reads the files of the last stage but one, so they stay.
+        name, stage = STAGES[-2]
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
