@@ -18,9 +18,16 @@ from pyspark.sql import SparkSession
 _DESCRIPTION = "spark.job.description"
 
 
+def require_classic(spark: SparkSession, feature: str) -> SparkSession:
+    """The session, if it has a JVM to talk to; over Spark Connect there is none."""
+    if type(spark).__module__.startswith("pyspark.sql.connect"):
+        raise RuntimeError(f"{feature} is not supported over Spark Connect; use a classic session")
+    return spark
+
+
 def set_job_description(spark: SparkSession, description: str | None, if_not_set: bool = False) -> str | None:
     """Set this thread's job description; returns the one before."""
-    sc = spark.sparkContext
+    sc = require_classic(spark, "a job description").sparkContext
     before = sc.getLocalProperty(_DESCRIPTION)
     if not (if_not_set and before is not None):
         sc.setLocalProperty(_DESCRIPTION, description)
@@ -40,13 +47,14 @@ def job_description(spark: SparkSession, description: str, if_not_set: bool = Fa
 @contextlib.contextmanager
 def append_job_description(spark: SparkSession, extra: str, separator: str = " - ") -> Iterator[None]:
     """Jobs of the block carry the present description and the extra one."""
-    before = spark.sparkContext.getLocalProperty(_DESCRIPTION)
+    before = require_classic(spark, "a job description").sparkContext.getLocalProperty(_DESCRIPTION)
     with job_description(spark, extra if before is None else f"{before}{separator}{extra}"):
         yield
 
 
 def create_temporary_dir(spark: SparkSession, prefix: str) -> str:
     """A folder of the driver under Spark's file root, removed at exit."""
+    require_classic(spark, "a temporary folder of the driver")
     path = tempfile.mkdtemp(prefix=prefix, dir=SparkFiles.getRootDirectory())
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
