@@ -9,7 +9,6 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framekit.names import backticks
 from framekit.operators.diff import Differ
@@ -84,10 +83,8 @@ def run(arguments: Sequence[str] | None = None, spark: SparkSession | None = Non
         spark = (builder.enableHiveSupport() if a.hive else builder).getOrCreate()
     left = _read(spark, a.left, a.left_format or a.format, a.left_schema or a.schema, a.left_option)
     right = _read(spark, a.right, a.right_format or a.format, a.right_schema or a.schema, a.right_option)
-    out = Differ(options).diff(left, right, *a.id, ignore=a.ignore)
+    out = Differ(options).diff(left, right, *a.id, ignore=a.ignore, actions=a.filter or None)
     action = backticks(options.diff_column)
-    if a.filter:
-        out = out.where(F.col(action).isin(a.filter))
     if a.statistics:
         out = out.groupBy(action).count().orderBy(action)
     writer = out.write.mode(a.save_mode).options(**dict(a.output_option))

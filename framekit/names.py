@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PLAIN = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*\Z")
 
@@ -15,6 +16,13 @@ def backticks(*parts: str) -> str:
     return ".".join(p if _PLAIN.match(p) else "`" + p.replace("`", "``") + "`" for p in parts)
 
 
+def as_column(df: DataFrame, column: str | Column) -> Column:
+    """A column by its exact name if the frame has one of that name; other strings are references as Spark reads them."""
+    if not isinstance(column, str):
+        return column
+    return F.col(backticks(column) if column in df.columns else column)
+
+
 def free_prefix(existing: Iterable[str]) -> str:
     """A run of underscores longer than any that starts one of the given names."""
     longest = max((len(n) - len(n.lstrip("_")) for n in existing), default=0)

@@ -107,13 +107,27 @@ def _nullable(t: T.DataType) -> T.DataType:
     return t
 
 
-def _joined(p: _Plan) -> tuple[DataFrame, Column, Column, Column]:
-    """The join; whether the left and the right row exist; whether any value differs."""
+def _joined(p: _Plan, actions: frozenset[str] | None = None) -> tuple[DataFrame, Column, Column, Column]:
+    """The join; whether the left and the right row exist; whether any value differs.
+
+    ``actions``: the labels wanted, all by default. What they leave out is not joined: deleted rows alone are an anti join, rows of both
+    sides an inner one.
+    """
     mark = free_prefix([*p.left.columns, *p.right.columns]) + "exists"
     l, r = p.left.withColumn(mark, F.lit(1)).alias(_L), p.right.withColumn(mark, F.lit(1)).alias(_R)
     on = reduce(lambda a, b: a & b, (p.ref(_L, c).eqNullSafe(p.ref(_R, c)) for c in p.ids))
     changed = reduce(lambda a, b: a | b, (_differs(p, c) for c in p.values), F.lit(False))
-    return l.join(r, on, "full_outer"), F.col(f"{_L}.{mark}").isNotNull(), F.col(f"{_R}.{mark}").isNotNull(), changed
+    o = p.options
+    left_only, right_only, both = (actions is None or bool(actions & set(labels)) for labels in ((o.delete_value,), (o.insert_value,), (o.change_value, o.nochange_value)))
+    if left_only and not right_only and not both:
+        # Columns of the other side are nulls, from a table without rows.
+        joined = l.join(r, on, "left_anti").join(r.where(F.lit(False)), F.lit(True), "left")
+    elif right_only and not left_only and not both:
+        joined = r.join(l, on, "left_anti").join(l.where(F.lit(False)), F.lit(True), "left")
+    else:
+        how = {(True, True): "full_outer", (True, False): "left", (False, True): "right", (False, False): "inner"}[left_only, right_only]
+        joined = l.join(r, on, how)
+    return joined, F.col(f"{_L}.{mark}").isNotNull(), F.col(f"{_R}.{mark}").isNotNull(), changed
 
 
 def _differs(p: _Plan, column: str) -> Column:
@@ -182,18 +196,22 @@ class Differ:
             _check_unique(right, [p.name(_R, c) for c in p.ids], "right")
         return p
 
-    def diff(self, left: DataFrame, right: DataFrame, *ids: str, ignore: Sequence[str] = ()) -> DataFrame:
+    def diff(self, left: DataFrame, right: DataFrame, *ids: str, ignore: Sequence[str] = (), actions: Sequence[str] | None = None) -> DataFrame:
         """One row for each id: its action, the change list if asked for, ids and values of both sides.
 
         Without ids all compared columns are ids, and no row can be changed. Nulls in ids equal
         each other. Ignored columns are carried, not compared; they may exist on one side only.
+        ``actions``: the labels of the rows wanted, all by default; rows of no such label are not joined where the ids tell.
         """
         p = self._plan(left, right, ids, ignore)
-        joined, has_left, has_right, changed = _joined(p)
         o = p.options
+        if actions is not None and (unknown := [a for a in actions if a not in o.labels]):
+            raise ValueError(f"unknown actions {_listed(unknown)}; there are {_listed(o.labels)}")
+        joined, has_left, has_right, changed = _joined(p, None if actions is None else frozenset(actions))
         change = [] if o.change_column is None else [_change_list(p, has_left, has_right).alias(o.change_column)]
         id_cols = [F.coalesce(p.ref(_L, c), p.ref(_R, c)).alias(c) for c in p.ids]
-        return joined.select(_action(o, has_left, has_right, changed).alias(o.diff_column), *change, *id_cols, *_layout(p))
+        out = joined.select(_action(o, has_left, has_right, changed).alias(o.diff_column), *change, *id_cols, *_layout(p))
+        return out if actions is None else out.where(F.col(backticks(o.diff_column)).isin(list(actions)))
 
     def diff_with(self, left: DataFrame, right: DataFrame, *ids: str, ignore: Sequence[str] = ()) -> DataFrame:
         """Action plus the two rows as structs; the struct of a side without the row is null."""
@@ -224,7 +242,8 @@ class Differ:
 
     def changes_only(self, left: DataFrame, right: DataFrame, *ids: str, ignore: Sequence[str] = ()) -> DataFrame:
         """Every row but the unchanged ones."""
-        return self.diff(left, right, *ids, ignore=ignore).where(F.col(backticks(self.options.diff_column)) != self.options.nochange_value)
+        o = self.options
+        return self.diff(left, right, *ids, ignore=ignore, actions=[o.insert_value, o.change_value, o.delete_value])
 
 
 def diff(left: DataFrame, right: DataFrame, *ids: str, options: DiffOptions | None = None, ignore: Sequence[str] = ()) -> DataFrame:

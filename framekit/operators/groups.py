@@ -11,10 +11,9 @@ import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.names import free_prefix
+from framekit.names import as_column, free_prefix
 
 Key = str | Column
 
@@ -37,14 +36,16 @@ class SortedGroups:
         self.columns = df.columns
         mark = free_prefix(df.columns)
         self._keys = [f"{mark}key{i}" for i in range(len(keys))]
-        as_col = lambda c: F.col(c) if isinstance(c, str) else c
+        as_col = lambda c: as_column(df, c)
         keyed = df.withColumns(dict(zip(self._keys, map(as_col, keys), strict=True)))
         keyed = keyed.repartition(partitions, *self._keys) if partitions else keyed.repartition(*self._keys)
         self._df = keyed.sortWithinPartitions(*self._keys, *map(as_col, order))
 
     def flat_map(self, function: Callable[[tuple, Iterator[Row]], Iterable], schema: str | T.StructType) -> DataFrame:
         """``function(key, rows)`` yields any number of result tuples; it may leave rows unread."""
-        keys, columns = self._keys, self.columns
+        keys, columns = len(self._keys), self.columns
+        # Functions over Arrow batches look columns up by name, so these are plain on the way.
+        plain = self._df.toDF(*[f"c{i}" for i in range(len(self._df.columns))])
 
         def run(batches):
             import pyarrow as pa
@@ -53,8 +54,9 @@ class SortedGroups:
 
             def rows():
                 for batch in batches:
-                    k = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
-                    yield from zip(k, map(row, *(batch.column(c).to_pylist() for c in columns)) if columns else k, strict=True)
+                    values = [c.to_pylist() for c in batch.columns]
+                    k = list(zip(*values[-keys:], strict=True))
+                    yield from zip(k, map(row, *values[:-keys]) if columns else k, strict=True)
 
             def results():
                 for _, group in itertools.groupby(rows(), key=lambda x: _normal(x[0])):
@@ -70,7 +72,7 @@ class SortedGroups:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        return self._df.mapInArrow(run, schema)
+        return plain.mapInArrow(run, schema)
 
     def flat_map_with_state(self, state: Callable[[tuple], object], function: Callable[[object, Row], tuple[object, Iterable]], schema: str | T.StructType) -> DataFrame:
         """``state(key)`` starts a group; ``function(state, row)`` returns the next state and result tuples."""
@@ -90,10 +92,10 @@ def group_by_sorted(df: DataFrame, *keys: Key, order: Sequence[Key] = (), partit
 
 def group_by_key_sorted(df: DataFrame, key: Key, order: Key, partitions: int | None = None, reverse: bool = False) -> SortedGroups:
     """One key and one order expression; ``reverse`` turns the order around, not the key."""
-    by = F.col(order) if isinstance(order, str) else order
+    by = as_column(df, order)
     return SortedGroups(df, [key], [by.desc() if reverse else by.asc()], partitions)
 
 
 def group_by_key(df: DataFrame, *keys: Key):
     """Grouping by column expressions, which the optimizer sees; use ``agg`` or ``applyInPandas`` on it."""
-    return df.groupBy(*keys)
+    return df.groupBy(*[as_column(df, k) for k in keys])

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framekit.names import free_prefix
+from framekit.names import as_column, backticks, free_prefix
 
 _LOCAL_BITS = 33
 
@@ -75,7 +75,7 @@ def with_row_numbers(
     """
     if storage_level == StorageLevel.NONE:
         raise ValueError("row numbers need the table persisted; storage level NONE is not supported")
-    order = [order] if isinstance(order, (str, Column)) else list(order)
+    order = [as_column(df, c) for c in ([order] if isinstance(order, (str, Column)) else order)]
     if order:
         df = df.orderBy(*order, ascending=ascending)
     mark = free_prefix([*df.columns, name])
@@ -93,7 +93,7 @@ def with_row_numbers(
         numbered.withColumn(part, partition)
         .join(F.broadcast(offsets), part)
         .withColumn(name, local + F.col(before))
-        .drop(row, part, before)
+        .select(*[backticks(c) for c in df.columns if c.lower() != name.lower()], backticks(name))
     )
 
 
