@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- orders and their mutation -------------------------------------------------------------
+# Orders and their mutation
 
 _SHIFT = 10_000_000
 
@@ -190,7 +190,7 @@ def diff_duplicate_ids(spark, d):
     return fk.diff(left, left.where("l_linenumber <> 3"), "l_orderkey", "l_linenumber")
 
 
-# ---- comparators ---------------------------------------------------------------------------
+# Comparators
 
 
 def _part(spark, d):
@@ -274,7 +274,7 @@ def diff_map(spark, d):
     return out.select("diff", "event_id", F.col("left_m")["b"].alias("left_b"), F.col("right_m")["b"].alias("right_b"))
 
 
-# ---- pairs, contracts ----------------------------------------------------------------------
+# Pairs, contracts
 
 _NATION = """l AS (SELECT * FROM nation), r AS (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 3
   UNION ALL SELECT 100, 'NOWHERE', 1)"""
@@ -308,7 +308,7 @@ def diff_as_contract(spark, d):
     return fk.diff_as(schema, *_nation(spark, d), "n_nationkey")
 
 
-# ---- histogram, counts ---------------------------------------------------------------------
+# Histogram, counts
 
 
 def _bins(column: str, thresholds: list[int], key: str = "") -> str:
@@ -334,7 +334,7 @@ def count_null(spark, d):
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(fk.count_null(some).alias("missing"))
 
 
-# ---- row numbers ---------------------------------------------------------------------------
+# Row numbers
 
 
 @_query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n FROM orders")
@@ -353,7 +353,7 @@ def row_numbers_filtered(spark, d):
     return fk.RowNumbers().named("n").order_by("o_orderkey").of(few)
 
 
-# ---- sorted groups -------------------------------------------------------------------------
+# Sorted groups
 
 
 @_query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events")
@@ -387,7 +387,7 @@ def group_by_key(spark, d):
     return fk.group_by_key(table(spark, d, "events"), (F.col("event_id") % 10).alias("digit")).agg(F.count("*").alias("n"))
 
 
-# ---- ticks ---------------------------------------------------------------------------------
+# Ticks
 
 
 def _utc(e: DataFrame) -> DataFrame:
@@ -434,7 +434,7 @@ def ticks_from_unix_epoch_nanos(spark, d):
     return _ticks(spark, d).select("event_id", fk.unix_epoch_nanos_to_dotnet_ticks(fk.dotnet_ticks_to_unix_epoch_nanos("ticks")).alias("ticks"))
 
 
-# ---- writer, Parquet structure -------------------------------------------------------------
+# Writer, Parquet structure
 
 
 def _scratch(spark: SparkSession, what: str) -> str:
@@ -451,34 +451,86 @@ def partitioned_write_roundtrip(spark, d):
     return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+#: A flat table and one with a nested column.
+_TABLES = {"orders": "o_totalprice", "embeddings": "embedding"}
+#: The files that hold the registered tables, told by a column's values, as ``f``; what DuckDB reads in their footers as ``m`` and ``s``.
+_FILES = "f AS (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS name, file_name, num_rows, num_row_groups, created_by FROM parquet_file_metadata('/root/testdata/sf*/{t}.parquet')
+  WHERE file_name IN (SELECT filename FROM read_parquet('/root/testdata/sf*/{t}.parquet', filename = true) GROUP BY filename HAVING bit_xor(hash({c})) = (SELECT bit_xor(hash({c})) FROM {t}))"""
+    for t, c in _TABLES.items()
+) + """),
+m AS (SELECT f.name, x.* FROM parquet_metadata('/root/testdata/sf*/*.parquet') x JOIN f USING (file_name)),
+s AS (SELECT f.name AS table_name, x.* FROM parquet_schema('/root/testdata/sf*/*.parquet') x JOIN f USING (file_name))"""
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("name", F.regexp_extract("filename", r"(\w+)\.parquet[^/]*$", 1)).drop("filename")
+
+
 def _paths(d: str) -> list[str]:
-    return [f"{d}/{t}.parquet" for t in ("orders", "nation", "customer")]
+    return [f"{d}/{t}.parquet" for t in _TABLES]
 
 
-@_query("SELECT (SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM nation) + (SELECT COUNT(*) FROM customer) AS n_rows, 6 + 3 + 5 AS n_columns")
+@_query(
+    f"""WITH {_FILES} SELECT f.name, num_row_groups::INT AS blocks, c.compressed, g.bytes AS uncompressed, num_rows AS rows, c.columns::INT AS columns, c.n_values, c.nulls, created_by, 'UNENCRYPTED' AS encryption
+FROM f JOIN (SELECT name, SUM(total_compressed_size)::BIGINT AS compressed, COUNT(DISTINCT path_in_schema) AS columns, SUM(num_values)::BIGINT AS n_values, SUM(stats_null_count)::BIGINT AS nulls FROM m GROUP BY name) c USING (name)
+JOIN (SELECT name, SUM(row_group_bytes)::BIGINT AS bytes FROM (SELECT DISTINCT name, row_group_id, row_group_bytes FROM m) GROUP BY name) g USING (name)"""
+)
 def parquet_metadata(spark, d):
-    return fk.parquet_metadata(spark, *_paths(d)).agg(F.sum("rows").alias("n_rows"), F.sum("columns").cast("int").alias("n_columns"))
+    found = _named(fk.parquet_metadata(spark, *_paths(d))).withColumnsRenamed({"compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values", "createdBy": "created_by"})
+    return found.select("name", "blocks", "compressed", "uncompressed", "rows", "columns", "n_values", "nulls", "created_by", "encryption")
 
 
-@_query("SELECT column_name AS name FROM (DESCRIBE orders) UNION ALL SELECT column_name FROM (DESCRIBE nation) UNION ALL SELECT column_name FROM (DESCRIBE customer)")
+@_query(
+    f"""WITH {_FILES} SELECT s.table_name, s.name AS column_name, p.path, repetition_type AS repetition, replace(s.type, 'BYTE_ARRAY', 'BINARY') AS type, COALESCE(converted_type, '-') AS original,
+  CASE WHEN logical_type LIKE 'String%' OR converted_type = 'UTF8' THEN 'STRING' WHEN logical_type LIKE 'Date%' THEN 'DATE' WHEN logical_type LIKE 'Timestamp%' THEN 'TIMESTAMP' WHEN logical_type IS NULL THEN '-' ELSE logical_type END AS logical
+FROM s JOIN (SELECT DISTINCT name AS table_name, replace(path_in_schema, ', ', '/') AS path FROM m) p ON p.table_name = s.table_name AND (p.path = s.name OR ends_with(p.path, '/' || s.name)) WHERE s.type IS NOT NULL AND num_children IS NULL"""
+)
 def parquet_schema(spark, d):
-    return fk.parquet_schema(spark, *_paths(d)).select(F.col("columnName").alias("name"))
+    found = _named(fk.parquet_schema(spark, *_paths(d)))
+    return found.select(
+        F.col("name").alias("table_name"), F.col("columnName").alias("column_name"), F.array_join("columnPath", "/").alias("path"), "repetition", "type",
+        F.coalesce("originalType", F.lit("-")).alias("original"), F.coalesce(F.regexp_extract("logicalType", r"^\w+", 0), F.lit("-")).alias("logical"),
+    )
 
 
-@_query("SELECT (SELECT COUNT(*) FROM orders) * 6 + (SELECT COUNT(*) FROM nation) * 3 + (SELECT COUNT(*) FROM customer) * 5 AS n_values")
+@_query(
+    f"""WITH {_FILES} SELECT name, (row_group_id + 1)::INT AS block, MIN(CASE WHEN COALESCE(dictionary_page_offset, 0) > 0 THEN least(dictionary_page_offset, data_page_offset) ELSE data_page_offset END) AS start,
+  SUM(total_compressed_size)::BIGINT AS compressed, MAX(row_group_bytes) AS uncompressed, MAX(row_group_num_rows) AS rows, COUNT(*)::INT AS columns, SUM(num_values)::BIGINT AS n_values, SUM(stats_null_count)::BIGINT AS nulls
+FROM m GROUP BY name, row_group_id"""
+)
 def parquet_blocks(spark, d):
-    return fk.parquet_blocks(spark, *_paths(d)).agg(F.sum("values").alias("n_values"))
+    found = _named(fk.parquet_blocks(spark, *_paths(d))).withColumnsRenamed({"blockStart": "start", "compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values"})
+    return found.select("name", "block", "start", "compressed", "uncompressed", "rows", "columns", "n_values", "nulls")
 
 
-@_query("SELECT 'o_orderkey' AS name, COUNT(*) AS n_values FROM orders UNION ALL SELECT 'n_name', COUNT(*) FROM nation UNION ALL SELECT 'c_name', COUNT(*) FROM customer")
+@_query(
+    f"""WITH {_FILES} SELECT name, (row_group_id + 1)::INT AS block, replace(path_in_schema, ', ', '/') AS path, compression AS codec, replace(type, 'BYTE_ARRAY', 'BINARY') AS type,
+  array_to_string(list_sort(list_distinct(string_split(encodings, ', '))), ',') AS encodings, CASE WHEN type LIKE 'INT%' AND stats_min_value NOT LIKE '%-%-%' THEN stats_min_value END AS low,
+  CASE WHEN type LIKE 'INT%' AND stats_max_value NOT LIKE '%-%-%' THEN stats_max_value END AS high,
+  CASE WHEN COALESCE(dictionary_page_offset, 0) > 0 THEN least(dictionary_page_offset, data_page_offset) ELSE data_page_offset END AS start,
+  total_compressed_size AS compressed, total_uncompressed_size AS uncompressed, num_values AS n_values, stats_null_count AS nulls FROM m"""
+)
 def parquet_block_columns(spark, d):
-    chunks = fk.parquet_block_columns(spark, *_paths(d)).select(F.element_at("column", -1).alias("name"), "values")
-    return chunks.where(F.col("name").isin("o_orderkey", "n_name", "c_name")).groupBy("name").agg(F.sum("values").alias("n_values"))
+    found = _named(fk.parquet_block_columns(spark, *_paths(d))).withColumnsRenamed({"columnStart": "start", "compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values"})
+    physical = F.upper(F.element_at(F.split("type", " "), 2))
+    whole = lambda c: F.when(physical.startswith("INT") & ~F.col(c).like("%-%-%"), F.col(c))
+    return found.select(
+        "name", "block", F.array_join("column", "/").alias("path"), "codec", physical.alias("type"), F.array_join("encodings", ",").alias("encodings"), whole("minValue").alias("low"),
+        whole("maxValue").alias("high"), "start", "compressed", "uncompressed", "n_values", "nulls",
+    )
 
 
-@_query("SELECT COUNT(*) AS n_rows FROM orders")
+@_query(
+    f"""WITH {_FILES} SELECT name, COUNT(DISTINCT row_group_id)::BIGINT AS blocks, SUM(total_compressed_size)::BIGINT AS compressed, (SELECT MAX(num_rows) FROM f WHERE f.name = m.name) AS rows,
+  SUM(num_values)::BIGINT AS n_values, SUM(stats_null_count)::BIGINT AS nulls FROM m GROUP BY name"""
+)
 def parquet_partitions(spark, d):
-    return fk.parquet_partitions(spark, f"{d}/orders.parquet").agg(F.sum("rows").alias("n_rows"))
+    """Each row group lies in one split, so the splits of a file add up to it."""
+    found = _named(fk.parquet_partitions(spark, *_paths(d)))
+    return found.groupBy("name").agg(
+        F.sum("blocks").alias("blocks"), F.sum("compressedBytes").alias("compressed"), F.sum("rows").alias("rows"), F.sum("values").alias("n_values"), F.sum("nulls").alias("nulls")
+    )
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,6 @@
 import datetime as dt
+import re
+import time
 from decimal import Decimal
 
 import pytest
@@ -6,20 +8,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import framekit as fk
+from framekit import methods
 
 
 @pytest.fixture(scope="module")
 def pair(spark):
-    left = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "id int, value string")
-    right = spark.createDataFrame([(1, "one"), (2, "Two"), (4, "four")], "id int, value string")
+    left = spark.createDataFrame([(10, "oak"), (20, "elm"), (35, "yew"), (70, "fir")], "id int, value string")
+    right = spark.createDataFrame([(20, "ash"), (70, "fir"), (10, "oak"), (90, "bay")], "id int, value string")
     return left, right
 
 
 @pytest.fixture(scope="module")
 def labelled(spark):
     s = "id int, value string, label string"
-    left = spark.createDataFrame([(1, "one", "a"), (2, None, "b"), (3, "three", None), (4, None, None), (5, "five", "e")], s)
-    right = spark.createDataFrame([(1, "one", None), (2, "two", "b"), (3, "three", None), (4, None, None), (6, None, None)], s)
+    left = spark.createDataFrame([(1, "red", "warm"), (2, None, "cold"), (3, "teal", None), (4, None, None), (5, "blue", "cold")], s)
+    right = spark.createDataFrame([(1, "red", None), (2, "grey", "cold"), (3, "teal", None), (4, None, None), (6, None, None)], s)
     return left, right
 
 
@@ -29,9 +32,9 @@ def rows(df):
 
 def test_basic_actions_and_self_lineage(pair, spark):
     got = rows(fk.diff(*pair, "id"))
-    assert got == sorted([("N", 1, "one", "one"), ("C", 2, "two", "Two"), ("D", 3, "three", None), ("I", 4, None, "four")], key=repr)
+    assert got == sorted([("N", 10, "oak", "oak"), ("C", 20, "elm", "ash"), ("D", 35, "yew", None), ("N", 70, "fir", "fir"), ("I", 90, None, "bay")], key=repr)
     assert {r[0] for r in fk.diff(pair[0], pair[0], "id").collect()} == {"N"}
-    assert {r[0] for r in fk.diff(pair[0], pair[0].where("id > 1"), "id").collect()} == {"N", "D"}
+    assert {r[0] for r in fk.diff(pair[0], pair[0].where("id > 10"), "id").collect()} == {"N", "D"}
 
 
 def test_result_schema(pair):
@@ -57,7 +60,7 @@ def test_modes(labelled, mode, sparse):
         1: ("C", ["label"]), 2: ("C", ["value"]), 3: ("N", []), 4: ("N", []), 5: ("D", None), 6: ("I", None)
     }
     if mode is fk.DiffMode.COLUMN_BY_COLUMN:
-        assert tuple(by_id[1])[3:] == ((None, None, "a", None) if sparse else ("one", "one", "a", None))
+        assert tuple(by_id[1])[3:] == ((None, None, "warm", None) if sparse else ("red", "red", "warm", None))
 
 
 def test_no_ids_has_no_changes(labelled):
@@ -162,7 +165,7 @@ def test_diff_with_prefixed_ids(spark):
 def test_diff_as(pair):
     schema = T.StructType.fromDDL("id long, diff string")
     got = fk.diff_as(schema, *pair, "id")
-    assert got.schema.simpleString() == "struct<id:bigint,diff:string>" and got.count() == 4
+    assert got.schema.simpleString() == "struct<id:bigint,diff:string>" and got.count() == 5
     with pytest.raises(ValueError, match="does not return"):
         fk.diff_as(T.StructType.fromDDL("nope string"), *pair, "id")
 
@@ -186,9 +189,71 @@ def test_epsilon(spark):
 
 
 def test_whitespace(spark):
-    pairs = [("two spaces ", " two \t\nspaces"), ("a b", "ab"), (None, None), (None, ""), ("\x00a\x1f", "a")]
-    assert compare_values(spark, fk.Comparators.string(), "string", pairs) == "NCNCN"
-    assert compare_values(spark, fk.Comparators.string(False), "string", pairs) == "CCNCC"
+    pairs = [("north  wind\v", "\tnorth\r\n wind"), ("north wind", "northwind"), (None, None), (None, ""), ("\x7f\x01gale\x1b ", "gale"), ("a\x01b", "ab"), ("\xa0gale", "gale")]
+    assert compare_values(spark, fk.Comparators.string(), "string", pairs) == "NCNCNCC"
+    assert compare_values(spark, fk.Comparators.string(False), "string", pairs) == "CCNCCCC"
+
+
+def test_whitespace_takes_linear_time(spark):
+    blanks = " \t" * 500_000
+    began = time.time()
+    assert compare_values(spark, fk.Comparators.string(), "string", [(f"a{blanks}b", "a b"), (f"a{blanks}", f"{blanks}a"), (f"a{blanks}b", "ab")]) == "NNC"
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize(
+    ("actions", "joins"),
+    [("D", ["LeftAnti"]), ("I", ["LeftAnti"]), ("N", ["Inner"]), ("C", ["Inner"]), ("CN", ["Inner"]), ("DC", ["LeftOuter"]), ("IN", ["RightOuter"]), ("DI", ["FullOuter"]), ("DCNI", ["FullOuter"])],
+)
+def test_only_some_actions(labelled, actions, joins):
+    """The same rows as a filter keeps, and no more joined than they need."""
+    for options in (fk.DiffOptions(change_column="ch"), fk.DiffOptions(sparse=True, mode=fk.DiffMode.SIDE_BY_SIDE), fk.DiffOptions(mode=fk.DiffMode.RIGHT_SIDE)):
+        got = fk.Differ(options).diff(*labelled, "id", actions=list(actions))
+        every = fk.diff(*labelled, "id", options=options)
+        assert got.schema == every.schema or {f.name: f.dataType for f in got.schema} == {f.name: f.dataType for f in every.schema}
+        assert rows(got) == rows(every.where(F.col("diff").isin(list(actions))))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert re.findall(r"Join (\w+)", plan) == joins, plan
+    with pytest.raises(ValueError, match="unknown actions"):
+        fk.Differ().diff(*labelled, "id", actions=["X"])
+
+
+def test_no_actions_at_all_and_method_form(labelled):
+    left, right = labelled
+    assert fk.Differ().diff(left, right, "id", actions=[]).count() == 0
+    assert rows(left.transform(fk.against(right, "id", ignore=["label"]))) == rows(fk.diff(left, right, "id", ignore=["label"]))
+
+
+def test_option_setters(labelled):
+    """Names and labels that are set one by one show in the result."""
+    o = fk.DiffOptions().with_diff_column("was").with_left_prefix("old").with_right_prefix("new").with_insert_value("+").with_delete_value("-").with_change_value("~").with_nochange_value("=")
+    got = fk.diff(*labelled, "id", options=o.with_change_column("what"))
+    assert got.columns == ["was", "what", "id", "old_value", "new_value", "old_label", "new_label"]
+    assert sorted(r["was"] for r in got.collect()) == sorted("+-~~==")
+    assert {r["was"] for r in fk.Differ(o).changes_only(*labelled, "id").collect()} == {"+", "-", "~"}
+
+
+def test_methods_on_request(labelled, spark, tmp_path):
+    """Nothing is attached unless asked for; older names warn."""
+    left, right = labelled
+    assert not hasattr(left, "diff")
+    methods.enable()
+    try:
+        assert rows(left.diff(right, "id")) == rows(fk.diff(left, right, "id"))
+        o = fk.DiffOptions(sparse=True)
+        with pytest.warns(DeprecationWarning):
+            assert rows(left.diff_with_options(right, o, ["id"], ["label"])) == rows(fk.diff(left, right, "id", options=o, ignore=["label"]))
+        with pytest.warns(DeprecationWarning):
+            assert left.diffwith_with_options(right, o, "id").columns == ["diff", "left", "right"]
+        assert left.session() is left.session_or_ctx() is left.sparkSession
+        assert sorted(r.row_number for r in left.with_row_numbers().collect()) == [1, 2, 3, 4, 5]
+        left.write.parquet(str(tmp_path / "l"))
+        assert spark.read.parquet_metadata(str(tmp_path / "l")).agg(F.sum("rows")).first()[0] == 5
+        with pytest.raises(ValueError, match="one list"), pytest.warns(DeprecationWarning):
+            left.diff_with_options(right, o, ["id"], [], [])
+    finally:
+        methods.disable()
+    assert not hasattr(left, "diff") and hasattr(left, "groupBy")
 
 
 def test_duration(spark):

@@ -2,6 +2,8 @@ import datetime as dt
 import os
 import subprocess
 import sys
+import zipfile
+from decimal import Decimal
 
 import pytest
 from pyspark import StorageLevel
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import framekit as fk
 from framekit import cli
+from framekit.sources import parquet_footer, parquet_meta
 
 
 def test_histogram(spark):
@@ -77,18 +80,22 @@ def test_sorted_groups_null_and_nan_keys(spark):
 
 
 def test_ticks(spark):
-    df = spark.createDataFrame([(599266080000000000,), (621355968000000000,), (638155413748959308,), (713589688368547758,), (3155378975999999999,), (0,)], "t long")
+    # Fixed values of the format: 1970 in ticks, the last tick whose nanoseconds fit a long, and the last tick of all.
+    epoch, last_nanos, last = 621355968000000000, 713589688368547758, 3155378975999999999
+    some = [epoch - 123_456_789_012_345, epoch, epoch + 17_000_000_012_345_671]
+    df = spark.createDataFrame([(t,) for t in (*some, last_nanos, last, 0)], "t long")
     got = df.select(fk.dotnet_ticks_to_unix_epoch_nanos("t").alias("n"), fk.dotnet_ticks_to_unix_epoch("t").alias("e"))
     assert got.schema["e"].dataType.simpleString() == "decimal(29,9)"
-    assert [r.n for r in got.collect()] == [-2208988800000000000, 0, 1679944574895930800, 9223372036854775800, None, None]
-    ts = dt.datetime(2023, 3, 27, 19, 16, 14, 895931)
+    assert [r.n for r in got.collect()] == [*(100 * (t - epoch) for t in some), 100 * (last_nanos - epoch), None, None]
+    ts = dt.datetime(1987, 6, 5, 4, 3, 2, 10_203)
     one = spark.createDataFrame([(ts,)], "t timestamp")
-    assert one.select(fk.timestamp_to_dotnet_ticks("t")).first()[0] == 638155413748959310
+    micros = (ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    assert one.select(fk.timestamp_to_dotnet_ticks("t")).first()[0] == epoch + 10 * micros
     with pytest.raises(Exception, match="DATATYPE_MISMATCH"):
         spark.range(1).select(fk.timestamp_to_dotnet_ticks("id")).collect()
     for kind in ("string", "decimal(19,7)", "double", "long", "int"):
-        assert spark.range(1).select(fk.unix_epoch_to_dotnet_ticks(F.lit("1679944574").cast(kind))).first()[0] == 638155413740000000
-        assert spark.range(1).select(fk.unix_epoch_nanos_to_dotnet_ticks(F.lit("1200").cast(kind if kind != "decimal(19,7)" else "decimal(21,0)"))).first()[0] == 621355968000000012
+        assert spark.range(1).select(fk.unix_epoch_to_dotnet_ticks(F.lit("1234567890").cast(kind))).first()[0] == epoch + 12345678900000000
+        assert spark.range(1).select(fk.unix_epoch_nanos_to_dotnet_ticks(F.lit("4700").cast(kind if kind != "decimal(19,7)" else "decimal(21,0)"))).first()[0] == epoch + 47
 
 
 def test_write_partitioned(spark, tmp_path):
@@ -131,6 +138,142 @@ def test_parquet_tables(spark, tmp_path):
     assert [".".join(r.columnPath) for r in fk.parquet_schema(spark, nested).collect()] == ["a", "b.x", "b.y", "b.z", "c.list.element"]
 
 
+def test_parquet_schema_and_values_of_nested_columns(spark, tmp_path):
+    """Own repetition, logical types, text of the schema and of statistics."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    deep = pa.struct([pa.field("need", pa.int64(), nullable=False), pa.field("may", pa.timestamp("us", tz="UTC"))])
+    schema = pa.schema(
+        [
+            pa.field("key", pa.int64(), nullable=False), pa.field("deep", deep), pa.field("words", pa.list_(pa.string())), pa.field("tiny", pa.int8()), pa.field("price", pa.decimal128(30, 3)),
+            pa.field("day", pa.date32()), pa.field("at", pa.timestamp("ms")), pa.field("ratio", pa.float64()), pa.field("raw", pa.binary()), pa.field("u", pa.uint32()),
+        ]
+    )
+    rows = [
+        {"key": 1, "deep": {"need": 5, "may": dt.datetime(2001, 2, 3, 4, 5, 6, 7)}, "words": ["x", None], "tiny": -3, "price": Decimal("12.345"), "day": dt.date(1969, 12, 30), "at": dt.datetime(2020, 1, 1), "ratio": 1.5e-7, "raw": b"\x01\xff", "u": 2**31 + 5},
+        {"key": 2, "deep": None, "words": None, "tiny": 4, "price": Decimal("-1.000"), "day": None, "at": None, "ratio": 123456789.0, "raw": None, "u": 7},
+    ]
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.Table.from_pylist(rows, schema=schema), path, coerce_timestamps=None, version="2.6")
+    got = {r.columnName: r for r in fk.parquet_schema(spark, path).collect()}
+    told = {n: (r.repetition, r.type, r.originalType, r.logicalType, r.maxDefinitionLevel, r.maxRepetitionLevel) for n, r in got.items()}
+    assert told["key"] == ("REQUIRED", "INT64", None, None, 0, 0)
+    assert told["need"] == ("REQUIRED", "INT64", None, None, 1, 0)
+    assert told["may"] == ("OPTIONAL", "INT64", "TIMESTAMP_MICROS", "TIMESTAMP(MICROS,true)", 2, 0)
+    assert told["element"] == ("OPTIONAL", "BINARY", "UTF8", "STRING", 3, 1)
+    assert told["tiny"][2:4] == ("INT_8", "INTEGER(8,true)") and told["price"][2:4] == ("DECIMAL", "DECIMAL(30,3)") and told["at"][3] == "TIMESTAMP(MILLIS,false)"
+    assert got["price"].length == 13 and got["key"].length == 0 and {r.primitiveOrder for r in got.values()} == {"TYPE_DEFINED_ORDER"}
+    chunk = {r.column[-1]: r for r in fk.parquet_block_columns(spark, path).collect()}
+    ends = {n: (r.minValue, r.maxValue, r.nulls) for n, r in chunk.items()}
+    assert ends["tiny"] == ("-3", "4", 0) and ends["price"] == ("-1.000", "12.345", 0) and ends["day"] == ("1969-12-30", "1969-12-30", 1)
+    assert ends["ratio"] == ("1.5E-7", "1.23456789E8", 0) and ends["raw"][0] == "0x01FF" and ends["u"] == ("7", str(2**31 + 5), 0)
+    assert ends["may"][0] == "2001-02-03T04:05:06.000007+0000" and ends["at"][0] == "2020-01-01T00:00:00.000"
+    assert chunk["element"].type == "optional binary element (STRING)" and chunk["key"].type == "required int64 key"
+    text = fk.parquet_metadata(spark, path).first().schema
+    assert text.startswith("message schema {\n  required int64 key;\n  optional group deep {\n    required int64 need;\n") and "  optional group words (LIST) {\n    repeated group list {\n" in text
+    assert text.count("{") == text.count("}") == 4
+
+
+def test_parquet_of_a_store_that_arrow_does_not_know(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    spark.range(0, 300, 1, 3).write.parquet(path)
+    want = [tuple(r) for r in fk.parquet_blocks(spark, path).orderBy("filename").collect()]
+    monkeypatch.setattr(parquet_meta, "_known_to_arrow", lambda p: False)
+    monkeypatch.setattr(parquet_meta, "_tail", None)
+    assert [tuple(r) for r in fk.parquet_blocks(spark, path).orderBy("filename").collect()] == want and len(want) == 3
+
+
+def test_parquet_opens_a_file_of_many_splits_once(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(0, 50_000, 1, 1).write.option("parquet.block.size", 1024).parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        parts = fk.parquet_partitions(spark, path)
+        assert parts.count() > 50 and parts._jdf.queryExecution().toRdd().getNumPartitions() == 1
+        assert parts.agg(F.sum("rows")).first()[0] == 50_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_parquet_encryption(spark, tmp_path):
+    """Encrypted columns under a plain footer are told by nulls; an encrypted footer is an error."""
+    import base64
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import pyarrow.parquet.encryption as pe
+
+    class Kms(pe.KmsClient):
+        def __init__(self, config):
+            super().__init__()
+
+        def wrap_key(self, key, master):
+            return base64.b64encode(key)
+
+        def unwrap_key(self, wrapped, master):
+            return base64.b64decode(wrapped)
+
+    factory, connection = pe.CryptoFactory(lambda c: Kms(c)), pe.KmsConnectionConfig()
+    for name, plain in (("plain", True), ("closed", False)):
+        config = pe.EncryptionConfiguration(footer_key="f", column_keys={"k": ["b"]}, plaintext_footer=plain)
+        with pq.ParquetWriter(str(tmp_path / f"{name}.parquet"), pa.schema([("a", pa.int64()), ("b", pa.int64())]), encryption_properties=factory.file_encryption_properties(connection, config)) as w:
+            w.write_table(pa.table({"a": [1, 2], "b": [3, 4]}))
+    one = str(tmp_path / "plain.parquet")
+    footer = parquet_footer.Footer(parquet_meta._tail(one))
+    assert footer.encryption == "PLAINTEXT_FOOTER"
+    row = next(parquet_meta._file_row(footer))
+    assert (row["rows"], row["columns"], row["values"], row["compressedBytes"], row["nulls"]) == (2, 2, None, None, None)
+    chunks = list(parquet_meta._chunk_rows(footer))
+    assert [c["encrypted"] for c in chunks] == [False, True] and all(c["minValue"] is None and c["values"] is None for c in chunks)
+    with pytest.raises(ValueError, match="encrypted columns"):
+        list(parquet_meta._split_rows(footer, [(0, 0, 10)], 10))
+    with pytest.raises(ValueError, match="footer is encrypted"):
+        parquet_meta._tail(str(tmp_path / "closed.parquet"))
+
+
+def test_connect_sessions_are_rejected(spark):
+    fake = type("SparkSession", (), {"__module__": "pyspark.sql.connect.session"})()
+    for call in (lambda: fk.set_job_description(fake, "x"), lambda: fk.create_temporary_dir(fake, "x"), lambda: fk.parquet_metadata(fake, "x")):
+        with pytest.raises(RuntimeError, match="Spark Connect"):
+            call()
+
+
+def test_names_with_dots_in_groups_and_row_numbers(spark):
+    df = spark.createDataFrame([(1, 5), (1, 3), (2, 9)], ["k.k", "o`o"])
+    got = fk.group_by_sorted(df, "k.k", order=["o`o"]).flat_map(lambda key, rows: [(key[0], [r[1] for r in rows])], "k long, os array<long>").collect()
+    assert {r.k: r.os for r in got} == {1: [3, 5], 2: [9]}
+    assert {r["k.k"]: r["count"] for r in fk.group_by_key(df, "k.k").count().collect()} == {1: 2, 2: 1}
+    numbered = fk.with_row_numbers(df, "n.n", order="o`o")
+    assert numbered.columns == ["k.k", "o`o", "n.n"] and [tuple(r) for r in numbered.orderBy("`n.n`").collect()] == [(1, 3, 1), (1, 5, 2), (2, 9, 3)]
+    again = fk.with_row_numbers(numbered, "n.n", order="`n.n`", ascending=False)
+    assert again.columns == ["k.k", "o`o", "n.n"] and {r["n.n"] for r in again.collect()} == {1, 2, 3}
+    with pytest.raises(ValueError, match="NONE"):
+        fk.with_row_numbers(df, storage_level=StorageLevel.NONE)
+
+
+def test_poetry_project(spark, tmp_path):
+    """A stand-in for Poetry writes the wheel; the command gets the project and the folder, and pip the wheel."""
+    project = tmp_path / "project"
+    project.mkdir()
+    script = tmp_path / "poetry.py"
+    script.write_text(
+        "import shutil, sys\n"
+        "assert sys.argv[1:4] == ['build', '--format', 'wheel'] and sys.argv[-1].endswith('project')\n"
+        f"shutil.copy({write_wheel(str(tmp_path), 'fkpoem', 11)!r}, sys.argv[sys.argv.index('--output') + 1])\n"
+    )
+    fk.install_poetry_project(spark, str(project), poetry=[sys.executable, str(script)], pip_arguments=("--no-index", "--no-deps"))
+
+    def value(_):
+        import fkpoem
+
+        return fkpoem.VALUE
+
+    assert spark.sparkContext.parallelize([0]).map(value).collect() == [11]
+    with pytest.raises(subprocess.CalledProcessError):
+        fk.install_poetry_project(spark, str(project), poetry=[sys.executable, "-c", "raise SystemExit(3)"])
+
+
 def test_fluent_names_session(spark):
     assert fk.On(1, True).call(str) == "1" and fk.On(1, False).call(str) == 1
     assert fk.On(1, False).either(str).otherwise(float) == 1.0 and fk.call(2, str) == "2"
@@ -149,15 +292,24 @@ def test_fluent_names_session(spark):
     assert fk.version_info(spark)["spark"] == spark.version
 
 
+def write_wheel(folder, name, value):
+    """A package of one module, as a wheel, without any build tool."""
+    path = os.path.join(folder, f"{name}-1.0-py3-none-any.whl")
+    info = f"{name}-1.0.dist-info"
+    files = {
+        f"{name}/__init__.py": f"VALUE = {value}\n",
+        f"{info}/METADATA": f"Metadata-Version: 2.1\nName: {name}\nVersion: 1.0\n",
+        f"{info}/WHEEL": "Wheel-Version: 1.0\nGenerator: test\nRoot-Is-Purelib: true\nTag: py3-none-any\n",
+    }
+    with zipfile.ZipFile(path, "w") as z:
+        for n, text in files.items():
+            z.writestr(n, text)
+        z.writestr(f"{info}/RECORD", "".join(f"{n},,\n" for n in (*files, f"{info}/RECORD")))
+    return path
+
+
 def test_pip_package(spark, tmp_path):
-    (tmp_path / "fkprobe").mkdir()
-    (tmp_path / "fkprobe/__init__.py").write_text("VALUE = 7\n")
-    (tmp_path / "setup.py").write_text("from setuptools import setup\nsetup(name='fkprobe', version='1', packages=['fkprobe'])\n")
-    tried = subprocess.run([sys.executable, "-m", "pip", "wheel", "--no-deps", "--no-build-isolation", "-w", str(tmp_path), str(tmp_path)], capture_output=True)
-    if tried.returncode:
-        pytest.skip("no wheel can be built offline here")
-    wheel = next(str(tmp_path / f) for f in os.listdir(tmp_path) if f.endswith(".whl"))
-    fk.install_pip_package(spark, "--no-index", wheel)
+    fk.install_pip_package(spark, "--no-index", "--no-deps", write_wheel(str(tmp_path), "fkprobe", 7))
 
     def value(_):
         import fkprobe
