@@ -15,8 +15,8 @@ from framekit.names import backticks, free_prefix
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 64
 #: A bucket is looked through for rows with equal hashes, and these are split, from so many rows on.
 CROWDED = 4 * BUCKET_ROWS
-#: Rows of a table that is broadcast, of some 30 bytes each.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a narrow table that is broadcast: some megabytes in memory.
+BROADCAST_ROWS = 200_000
 
 
 def columns(df: DataFrame, names: Iterable[str] | None = None) -> list[Column]:
