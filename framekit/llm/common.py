@@ -32,17 +32,20 @@ def append_columns(df: DataFrame, keep: Iterable[str] | None, value: Column, mad
     """
     names = [f.name for f in made]
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
-    inputs = df.select(*columns(df, kept), value.alias(free_prefix([*df.columns, *names]) + "value"))
-    schema = T.StructType([*inputs.schema.fields[:-1], *made])
+    # Functions over Arrow batches look columns up by name, so these are plain on the way.
+    plain = [f"c{i}" for i in range(len(kept) + 1)]
+    inputs = df.select(*(c.alias(p) for c, p in zip([*columns(df, kept), value], plain, strict=True)))
+    added = [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(made)]
+    schema = T.StructType([*inputs.schema.fields[:-1], *added])
 
     def run(batches):
         import pyarrow as pa
 
         compute = start()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.columns[-1].to_pylist())], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.columns[-1].to_pylist())], names=[*plain[:-1], *(f.name for f in added)])
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(run, schema).toDF(*kept, *names)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -513,8 +513,10 @@ def score(docs: DataFrame, model: ClassModel, head: list[tuple[bytes, int]], rar
     p = free_prefix(docs.columns)
     mark, row = f"{p}text", f"{p}row"
     names = n_, known_, base_, part_, seq_, rest_ = [p + n for n in ("n", "known", "base", "part", "seq", "rest")]
-    own = [c for c in keep if c.lower() not in added]
-    df = docs.select(*columns(docs, own), F.col(backticks(text)).cast("binary").alias(mark))
+    kept = [c for c in keep if c.lower() not in added]
+    # Functions over Arrow batches look columns up by name, so these are plain on the way.
+    own = [f"{p}{i}" for i in range(len(kept))]
+    df = docs.select(*(c.alias(n) for c, n in zip(columns(docs, kept), own, strict=True)), F.col(backticks(text)).cast("binary").alias(mark))
 
     def run(batches):
         import pyarrow as pa
@@ -575,11 +577,11 @@ def score(docs: DataFrame, model: ClassModel, head: list[tuple[bytes, int]], rar
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in left), pa.array(steps, pa.float64())], names=[*left, f"{p}steps"])
 
     left = [*own, n_, known_, base_, part_, f"{p}k", f"{p}s", f"{p}m", f"{p}e"]
-    both = parts.select(row, seq_, *columns(parts, left[:-4])).join(sums, row, "left").select(*columns(parts, left), seq_, f"{p}places")
+    both = parts.select(row, seq_, *left[:-4]).join(sums, row, "left").select(*left, seq_, f"{p}places")
     walked = both.mapInArrow(walk, T.StructType([*(both.schema[x] for x in left), T.StructField(f"{p}steps", T.DoubleType())]))
     zero = lambda x: F.coalesce(F.col(p + x), F.lit(0))
     return walked.select(
-        *columns(walked, own),
+        *(F.col(n).alias(c) for c, n in zip(kept, own, strict=True)),
         F.col(n_).alias("n_tokens"),
         (F.col(known_) + zero("k")).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),

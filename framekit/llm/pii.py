@@ -315,7 +315,7 @@ def _training_rows(docs: DataFrame, text: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("hash", pa.int64()), ("kind", pa.string()), ("y", pa.float64()), ("x", pa.list_(pa.float64()))]))
 
-    return docs.select(F.col(backticks(text))).mapInArrow(run, _FEATURES)
+    return docs.select(F.col(backticks(text)).alias("t")).mapInArrow(run, _FEATURES)
 
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> PiiModel:

@@ -125,7 +125,7 @@ def _prepared(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
             arrays = [pa.array(ids, pa.int64()), pa.array(vectors, pa.list_(pa.float64())), pa.array(norms, pa.float64()), pa.array(widths, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "v", "norm", "width"])
 
-    return df.select(F.col(backticks(vec_id)).cast("long"), F.col(backticks(embedding))).mapInArrow(run, "vec_id long, v array<double>, norm double, width int")
+    return df.select(F.col(backticks(vec_id)).cast("long").alias("i"), F.col(backticks(embedding)).alias("v")).mapInArrow(run, "vec_id long, v array<double>, norm double, width int")
 
 
 _PACKED = "cell int, lo double, hi double, n int, ids binary, vectors binary"

@@ -157,11 +157,13 @@ def judge(df: DataFrame, url: str, rules: Iterable[Rule], default: str = ALLOW,
     mark = free_prefix([*df.columns, *made])
     names = {n: mark + n for n in (*made, "key", "rule_host")}
     at = F.col(backticks(url))
-    out = df.select(*columns(df, kept), host_of(at).alias(names["host"]), path_of(at).alias(names["path"]))
+    # Functions over Arrow batches look columns up by name, so these are plain on the way.
+    plain = [f"{mark}{i}" for i in range(len(kept))]
+    out = df.select(*(c.alias(n) for c, n in zip(columns(df, kept), plain, strict=True)), host_of(at).alias(names["host"]), path_of(at).alias(names["path"]))
     none = F.lit(None).cast("string")
     reverse = F.concat(F.array_join(F.reverse(F.split(names["host"], r"\.", -1)), "."), F.lit("."))
     out = out.select("*", reverse.alias(names["key"]), *(none.alias(names[n]) for n in ("rule", "verdict", "rule_host")))
     for i, part in enumerate(_runs(rules)):
         out = _swept(out if i == 0 else written(out, "urls"), part, names)
     verdict = F.coalesce(names["verdict"], F.lit(default)).alias("verdict")
-    return out.select(*columns(out, kept), *(F.col(names[n]).alias(n) for n in ("host", "path", "rule")), verdict)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(kept, plain, strict=True)), *(F.col(names[n]).alias(n) for n in ("host", "path", "rule")), verdict)
