@@ -37,6 +37,8 @@ BUCKETS, WIDTH = 1 << 15, 16
 #: Documents that training may read.
 SAMPLE_DOCS = 4000
 EPOCHS, RATE, BATCH = 5, 4.0, 16
+#: Texts that training looks at in all epochs, at least: a small sample is gone through more often.
+VISITS = 8_000
 #: Share of held-out texts in learned languages that rejection keeps.
 KEEP = 0.99
 _CACHE = 200_000
@@ -171,11 +173,11 @@ def fit(examples: Sequence[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -
     k = len(languages)
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias, y = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32), np.array(ys)
-    batches = -(-len(train) // BATCH)
-    for epoch in range(EPOCHS):
+    batches, epochs = -(-len(train) // BATCH), max(EPOCHS, -(-VISITS // len(train)))
+    for epoch in range(epochs):
         rng.shuffle(train)
         for b in range(batches):
-            rate = RATE * (1 - (epoch * batches + b) / (EPOCHS * batches))
+            rate = RATE * (1 - (epoch * batches + b) / (epochs * batches))
             rows = train[b * BATCH : (b + 1) * BATCH]
             sizes = np.array([len(bags[i]) for i in rows])
             ids, at = np.concatenate([bags[i] for i in rows]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -185,8 +187,10 @@ def fit(examples: Sequence[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            step = np.repeat(p @ out.T, sizes, axis=0) * share
-            out -= rate * (mean.T @ p) / len(rows) ** 0.5
+            # Damped by what a step would change in the logits, so that texts of few n-grams cannot make it overshoot.
+            turn = 1 + rate * np.add.reduceat(share * share, at, axis=0) * (out * out).sum()
+            step = np.repeat(p @ out.T / turn, sizes, axis=0) * share
+            out -= rate * (mean.T @ p) / (len(rows) ** 0.5 * (1 + rate * (mean * mean).sum(axis=1).mean()))
             bias -= 0.1 * rate * p.mean(axis=0)
             touched, inverse = np.unique(ids, return_inverse=True)
             grad = np.stack([np.bincount(inverse, step[:, j], len(touched)) for j in range(WIDTH)], axis=1)
@@ -201,7 +205,7 @@ def fit(examples: Sequence[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -
 
         loss = lambda t: -np.log(np.maximum(top(t)[np.arange(len(held)), y[held]], 1e-12)).mean()
         temperature = min((0.25 * 1.15**i for i in range(25)), key=loss)
-        reject = float(np.quantile(top(temperature).max(axis=1), 1 - KEEP))
+        reject = min(0.99, float(np.quantile(top(temperature).max(axis=1), 1 - KEEP)))
     return LanguageModel(languages, parts.astype(np.float32), bias.astype(np.float64), float(temperature), reject)
 
 
