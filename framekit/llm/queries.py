@@ -136,7 +136,22 @@ def _fold(n: int) -> Column:
 # Near duplicates
 
 
-@_query()
+_TOKENS = r"list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@_query(
+    f"""WITH RECURSIVE u AS (SELECT row_number() OVER () AS id, text, MIN(doc_id) AS first, any_value({_TOKENS}) AS tokens FROM documents WHERE text IS NOT NULL GROUP BY text),
+r AS (SELECT id, unnest(CASE WHEN len(tokens) <= 5 THEN [array_to_string(tokens, ' ')] ELSE list_transform(range(1, len(tokens) - 3), lambda i: array_to_string(tokens[i:i + 4], ' ')) END) AS run
+  FROM u WHERE len(tokens) > 0),
+s AS (SELECT id, run, COUNT(*) AS n FROM r GROUP BY id, run),
+t AS (SELECT id, SUM(n) AS total FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, SUM(least(a.n, b.n)) AS common FROM s a JOIN s b ON a.run = b.run AND a.id < b.id GROUP BY a.id, b.id),
+l AS (SELECT a, b FROM c JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE common::DOUBLE / (x.total + y.total - common)::DOUBLE >= 0.8::DOUBLE),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+k AS (SELECT id, first, first AS low FROM u UNION SELECT y.id, y.first, k.low FROM k JOIN e ON e.a = k.id JOIN u y ON y.id = e.b),
+g AS (SELECT id, MIN(low) AS class_id FROM k GROUP BY id)
+SELECT doc_id, COALESCE(class_id, doc_id) AS class_id FROM documents LEFT JOIN u USING (text) LEFT JOIN g USING (id)"""
+)
 def op5_near_dup(spark, d):
     """Every document with the id of its class of near copies, the smallest document id in it."""
     return near_dup.with_classes(table(spark, d, "documents"), keep=("doc_id",))
@@ -145,9 +160,6 @@ def op5_near_dup(spark, d):
 # Decontamination
 
 
-_TOKENS = r"list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-
-
 @_query(
     rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TOKENS} AS tokens FROM documents),
 i AS (SELECT row_number() OVER () AS item, item_id, {_TOKENS} AS tokens FROM benchmark),

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from oracle import DATA
+from pyspark.sql import functions as F
 
 from framekit.llm import near_dup, queries
 from framekit.llm.common import Scratch
@@ -129,6 +130,29 @@ def test_odd_rows(spark):
     assert Counter(near_dup.with_classes(df.limit(0)).columns) == Counter([*df.columns, "class_id"])
 
 
+def test_any_names_and_ids(spark):
+    """String ids, names with dots and quotes, columns named like results and temporary ones."""
+    a, b = near_group(2, seed=12)
+    rows = [("x9", a, "o"), ("x1", a + " more", "o"), ("y", b, "o"), (None, None, "o"), ("z", "", "o")]
+    df = spark.createDataFrame(rows, "`the.id` string, `qu``ote` string, class_id string").withColumns({c: F.lit("o") for c in ("key", "_key", "n", "first", "stays", "root")})
+    got = near_dup.with_classes(df, "qu`ote", "the.id")
+    assert got.columns == [*[c for c in df.columns if c != "class_id"], "class_id"]
+    by = {r["the.id"]: r.class_id for r in got.collect()}
+    want = brute_classes([(r[0] or "", r[1]) for r in rows if r[1]])
+    assert by == {"x9": want["x9"], "x1": want["x1"], "y": want["y"], None: None, "z": "z"}
+    kept = near_dup.deduplicated(df, "qu`ote", "the.id")
+    assert kept.columns == df.columns and {r["the.id"] for r in kept.collect()} == {want["x9"], want["x1"], want["y"], None, "z"}
+
+
+def test_texts_are_signed_once_in_a_task(spark, monkeypatch):
+    """Copies only count, whatever the bound on what a task remembers."""
+    monkeypatch.setattr(near_dup, "_SEEN", 1)
+    rows = [(i, f"text number {i % 3} of some words") for i in range(60)] + [(100, "..."), (101, "...")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["first"]: (r.n, r.signature is None, r.weight) for r in near_dup._distinct(df, "text", "doc_id").collect()}
+    assert got == {0: (20, False, 2), 1: (20, False, 2), 2: (20, False, 2), 100: (2, True, 0)}
+
+
 def test_bands_and_cut_miss_no_more_than_stated():
     rng = np.random.default_rng(11)
     chance = lambda s, m: math.comb(COORDINATES, m) * s**m * (1 - s) ** (COORDINATES - m)
