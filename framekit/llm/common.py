@@ -100,7 +100,11 @@ class Scratch:
 
 def small(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """A narrow table, written; broadcast in joins if it has at most ``BROADCAST_ROWS`` rows, joined by shuffle beyond."""
-    ready = written(df, "keys") if scratch is None else scratch.write(df, "keys")
+    return sized(written(df, "keys") if scratch is None else scratch.write(df, "keys"))
+
+
+def sized(ready: DataFrame) -> DataFrame:
+    """A narrow table that has been written, to be broadcast if it has at most ``BROADCAST_ROWS`` rows."""
     return F.broadcast(ready) if ready.count() <= BROADCAST_ROWS else ready
 
 

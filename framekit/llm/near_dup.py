@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import Scratch, columns, small, written
+from framekit.llm.common import Scratch, columns, sized, small, written
 from framekit.llm.dart_minhash import COORDINATES, mix, signature
 from framekit.names import backticks, free_prefix
 
@@ -49,7 +49,7 @@ BLOCK, BLOCK_RUNS = 1024, 1 << 20
 #: Likely links of one text in a block at most; pairs for each text of two blocks, from which on their texts meet instead.
 DEGREE, MANY = 64, 8
 #: Hashes of words, and keys of texts, that a task keeps.
-_CACHE, _SEEN = 300_000, 500_000
+_CACHE, _SEEN = 100_000, 200_000
 _NOT_WORD = re.compile(r"[\W_]+")
 _U = np.uint64
 
@@ -232,7 +232,7 @@ def _met(members: DataFrame, signed: DataFrame, roots: DataFrame | None, every_t
     """The members with their signatures, in (bucket, g, h): each in its own block's, or in every two blocks' of its bucket."""
     mine = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     if every_two:
-        rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rooted = members.join(sized(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
         rooted = rooted.join(open_, "bucket", "left_semi")
         at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
@@ -303,7 +303,7 @@ def _texts(docs: DataFrame, text: str, keys: DataFrame, scratch: Scratch) -> Dat
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """The pairs whose texts are similar enough."""
     texts = _texts(docs, text, pairs.select(F.explode(F.array("a", "b")).alias("key")), scratch)
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    both = sized(pairs).join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         import pyarrow as pa
@@ -330,16 +330,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
-        via = lowest.select(F.col("a").alias("low"), F.col("low").alias("lower"))
+        via = sized(lowest).select(F.col("a").alias("low"), F.col("low").alias("lower"))
         step = scratch.write(lowest.join(via, "low").select(F.col("a").alias("key"), F.col("lower").alias("root")), "step")
-        named = lambda c: step.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))
+        near = sized(step)
+        named = lambda c: near.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))
         x, y = F.col("root_a"), F.col("root_b")
         left = links.join(named("a"), "a").join(named("b"), "b").where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
         following = scratch.write(left, "links")
         if roots is None:
             roots = step
         else:
-            on = step.select(F.col("key").alias("root"), F.col("root").alias("next"))
+            on = near.select(F.col("key").alias("root"), F.col("root").alias("next"))
             done, roots = roots, scratch.write(roots.join(on, "root", "left").select("key", F.coalesce("next", "root").alias("root")), "roots")
             scratch.drop(done)
             scratch.drop(step)
@@ -371,11 +372,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
             again = met.join(small(many, scratch), ["bucket", "g", "h"], "left_semi")
             full = again.join(_texts(docs, text, again, scratch), "key").select(*met.columns, "text")
             links = links.unionByName(scratch.write(_compared(full, "links").select("a", "b"), "between"))
-        linked = scratch.write(components(links, scratch).join(signed.select("key", "first"), "key"), "linked")
+        linked = scratch.write(signed.select("key", "first").join(sized(components(links, scratch)), "key"), "linked")
         best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
         lowest = linked.groupBy("root").agg(best.alias("best")).select("root", F.col("best.first").alias("class_id"), F.col("best.key").alias("survivor"))
         named = linked.join(small(lowest, scratch), "root").select("key", "class_id", (F.col("key") == F.col("survivor")).alias("stays"))
-        of = every.select("key", "first", "n").join(named, "key", "left")
+        of = every.select("key", "first", "n").join(small(named, scratch), "key", "left")
         alone = F.col("stays").isNull()
         return written(of.select("key", "first", "n", F.when(alone, F.col("first")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("stays", F.lit(True)).alias("stays")), "classes")
 
@@ -384,8 +385,9 @@ def with_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     """The kept columns (all by default) with the class_id of every row."""
     p = free_prefix([*docs.columns, "class_id"])
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "class_id"]
-    of = classes(docs, text, doc_id).select(F.col("key").alias(f"{p}key"), "class_id")
-    # A null text's key is null, and meets no class.
+    # All others are their own classes. A null text's key is null, and meets no class.
+    more = classes(docs, text, doc_id).where((F.col("n") > 1) | ~F.col("class_id").eqNullSafe(F.col("first")))
+    of = small(more.select(F.col("key").alias(f"{p}key"), "class_id"))
     rows = docs.select(*columns(docs, kept), F.col(backticks(doc_id)).alias(f"{p}id"), _own_key(text).alias(f"{p}key"))
     return rows.join(of, f"{p}key", "left").select(*columns(docs, kept), F.coalesce("class_id", F.col(f"{p}id")).alias("class_id"))
 
