@@ -228,16 +228,19 @@ def _links_between(pairs: Iterator[tuple[int, np.ndarray]], roots: np.ndarray, t
     return out
 
 
-def _met(members: DataFrame, signed: DataFrame, roots: DataFrame | None, every_two: bool) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, blocks, key, root) of the buckets whose texts are of several components."""
+    rooted = members.join(sized(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return rooted.join(several, "bucket", "left_semi").select("bucket", "blocks", "key", "root")
+
+
+def _met(rooted: DataFrame, signed: DataFrame, every_two: bool) -> DataFrame:
     """The members with their signatures, in (bucket, g, h): each in its own block's, or in every two blocks' of its bucket."""
     mine = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     if every_two:
-        rooted = members.join(sized(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        rooted = rooted.join(open_, "bucket", "left_semi")
         at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
     else:
-        rooted = members.withColumn("root", F.col("key"))
         at = F.array(F.struct(mine.alias("g"), mine.alias("h")))
     data = ["key", "weight", "signature", "root"]
     placed = rooted.join(signed.select("key", "weight", "signature"), "key").select("bucket", mine.alias("mine"), F.explode(at).alias("at"), *data)
@@ -360,17 +363,18 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         every = scratch.write(_distinct(docs, text, doc_id), "signatures")
         signed = every.where(F.col("signature").isNotNull())
         members = _members(signed, scratch)
-        likely = scratch.write(_compared(_met(members, signed, None, False), "forest").select("a", "b").distinct(), "likely")
+        likely = scratch.write(_compared(_met(members.withColumn("root", F.col("key")), signed, False), "forest").select("a", "b").distinct(), "likely")
         links = _verified(likely, docs, text, scratch)
         roots = components(links, scratch)
-        met = _met(members, signed, roots, True)
-        found = scratch.write(_compared(met, "pairs"), "pairs")
+        rooted = scratch.write(_open(members, roots), "open")
+        found = scratch.write(_compared(_met(rooted, signed, True), "pairs"), "pairs")
         pairs = scratch.write(found.where(F.col("a").isNotNull()).select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "candidates")
         links = links.unionByName(_verified(pairs, docs, text, scratch))
         many = found.where(F.col("a").isNull()).select("bucket", "g", "h")
         if not many.isEmpty():
-            again = met.join(small(many, scratch), ["bucket", "g", "h"], "left_semi")
-            full = again.join(_texts(docs, text, again, scratch), "key").select(*met.columns, "text")
+            again = scratch.write(rooted.join(small(many.select("bucket").distinct(), scratch), "bucket", "left_semi"), "again")
+            met = _met(again, signed, True).join(small(many, scratch), ["bucket", "g", "h"], "left_semi")
+            full = met.join(_texts(docs, text, again, scratch), "key").select(*met.columns, "text")
             links = links.unionByName(scratch.write(_compared(full, "links").select("a", "b"), "between"))
         linked = scratch.write(signed.select("key", "first").join(sized(components(links, scratch)), "key"), "linked")
         best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))
