@@ -200,13 +200,15 @@ def mix(
     return result(out, slot, F.col(slot) * block_rows + within - lacking)
 
 
-def ordered(df: DataFrame, position: str = "position", file_bytes: int = FILE_BYTES) -> DataFrame:
+def ordered(df: DataFrame, position: str = "position", file_bytes: int = FILE_BYTES, unmixed: DataFrame | None = None) -> DataFrame:
     """The rows dealt to partitions and sorted by their gapless position, so that files hold the mixture in order.
 
-    The number of files follows the bytes of strings and binaries (and eight for each row), whatever the number of rows.
+    The number of files follows the bytes of strings and binaries (and eight for each row), whatever the number of rows. They are
+    counted in ``unmixed`` if given: the same rows, before they were numbered.
     """
-    wide = [F.coalesce(F.octet_length(F.col(backticks(f.name))), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
-    n, size = df.agg(F.count("*"), F.sum(sum(wide, F.lit(8)).cast("long"))).first()
+    rows = df if unmixed is None else unmixed
+    wide = [F.coalesce(F.octet_length(F.col(backticks(f.name))), F.lit(0)) for f in rows.schema if f.dataType.simpleString() in ("string", "binary")]
+    n, size = rows.agg(F.count("*"), F.sum(sum(wide, F.lit(8)).cast("long"))).first()
     parts = max(1, -(-(size or 0) // file_bytes))
     at = F.col(backticks(position))
     return df.repartitionById(parts, F.least(F.floor(at * parts / max(n, 1)), F.lit(parts - 1)).cast("int")).sortWithinPartitions(at)
