@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = free_prefix(docs.columns)
     hashed = docs.withColumn(f"{mark}text", F.xxhash64("text"))
     mixed = mixing.mix(hashed, "source", MIX, MIX_OTHER, ["doc_id", f"{mark}text"], prefix=mark)
-    return mixing.ordered(mixed, f"{mark}position").select(*columns(docs))
+    return mixing.ordered(mixed, f"{mark}position", unmixed=docs).select(*columns(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
