@@ -47,7 +47,7 @@ CANDIDATE, LIKELY = SIMILARITY - 4 * _DEVIATION, SIMILARITY - 0.5 * _DEVIATION
 #: Members of a block of a large bucket and runs of words in it, on average.
 BLOCK, BLOCK_RUNS = 1024, 1 << 20
 #: Likely links of one text in a block at most; pairs for each text of two blocks, from which on their texts meet instead.
-DEGREE, MANY = 64, 8
+DEGREE, MANY = 64, 1
 #: Hashes of words, and keys of texts, that a task keeps.
 _CACHE, _SEEN = 100_000, 200_000
 _NOT_WORD = re.compile(r"[\W_]+")
