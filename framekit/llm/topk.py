@@ -7,8 +7,8 @@ their distance from it, by the triangle inequality |d(q, pivot) - d(x, pivot)|,
 step its k-th best product bounds the radius anew, and it stops where no annulus left can hold a product as good.
 
 Queries that lie together travel as a block, so products are matrix products; a step ships to each chunk only the queries
-of a block that need it, and the chunk's vectors once. A cell of any size is cut into chunks: the range partitioning ends with the
-vector id, so equal vectors spread over tasks. Pivots come from a bounded sample (``SAMPLE``); every vector is indexed. What
+of a block that need it, and the chunk's vectors once; queries of more than ``BROADCAST`` bytes never pass the driver. A cell of any size is cut
+into chunks: the range partitioning ends with the vector id, so equal vectors spread over tasks. Pivots come from a bounded sample (``SAMPLE``); every vector is indexed. What
 the driver and the tasks know of all chunks is cell and radii, of ``MAX_CHUNKS`` at most: chunks grow beyond.
 
 Rows with norms far beyond those of the sample (``FAR`` times the largest) would make all bounds useless, or not finite. They are kept in
@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framekit.llm.common import Scratch, hashed_sample, written
+from framekit.llm.common import Scratch, hashed_sample, small, written
 from framekit.names import backticks
 
 #: Vectors that pivots are chosen from, most pivots, vectors of a chunk and of a query block, most chunks.
@@ -38,6 +38,8 @@ SAMPLE, MAX_PIVOTS, CHUNK, BLOCK, MAX_CHUNKS = 2048, 256, 1024, 256, 1 << 20
 GROWTH = 8
 #: Norms beyond the largest of the sample that the bounds allow for.
 FAR = 16.0
+#: Bytes of a step's queries, as rows, that are broadcast at most; they meet the chunks by shuffle beyond.
+BROADCAST = 8 << 20
 #: Chunks whose distances from a block are looked at in one go.
 _SLAB = 1 << 14
 _EXACT = float(2**53)
@@ -264,6 +266,20 @@ def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
 
 
+def _with_chunks(pairs: DataFrame, data: DataFrame, scratch: Scratch) -> DataFrame:
+    """What a step asks, beside the vectors of its chunks.
+
+    A block's queries stand in the files once for many chunks, so files may be a hundredth of their rows, and Spark, which goes by the
+    files, would have the driver gather them. The rows' own size decides here.
+    """
+    size = pairs.agg(F.sum(sum(F.octet_length(c) for c in ("at", "q_ids", "q_vectors", "kth")))).first()[0] or 0
+    if size <= BROADCAST:
+        return data.join(F.broadcast(pairs), "chunk")
+    # Only chunks that are asked for are shuffled.
+    wanted = data.join(small(pairs.select("chunk").distinct(), scratch), "chunk", "left_semi")
+    return wanted.hint("merge").join(pairs.hint("merge"), "chunk")
+
+
 def _scored(pairs: DataFrame, k: int) -> DataFrame:
     """The best of each chunk for the queries that meet it."""
 
@@ -362,7 +378,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", e
         rings = spark.sparkContext.broadcast((space, *(known[c].to_numpy() for c in ("chunk", "cell", "lo", "hi"))))
         data, step = chunks.select("chunk", "n", "ids", "vectors"), 1
         while not (pairs := scratch.write(_asked(state, rings, step, k), "asked")).isEmpty():
-            after = scratch.write(_merged(state, _scored(pairs.join(data, "chunk"), k), k), "queries")
+            after = scratch.write(_merged(state, _scored(_with_chunks(pairs, data, scratch), k), k), "queries")
             scratch.drop(pairs)
             scratch.drop(state)
             state, step = after, step * GROWTH

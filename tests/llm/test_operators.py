@@ -494,6 +494,30 @@ def test_top_k_looks_at_few_chunks_of_clustered_vectors(spark, monkeypatch):
     assert sum(pairs) < 0.3 * 160 * 8000 / 64
 
 
+def test_top_k_broadcasts_no_more_than_a_bound(spark, monkeypatch):
+    """A block's queries for many chunks are small in files and large as rows; the driver must not gather them."""
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "GROWTH", 512)
+    steps, real = [], topk._scored
+
+    def spy(met, k):
+        rows = met.selectExpr("sum(octet_length(q_vectors))").first()[0]
+        steps.append((rows, "Inner, Build" in met._jdf.queryExecution().executedPlan().toString()))
+        return real(met, k)
+
+    monkeypatch.setattr(topk, "_scored", spy)
+    x = np.random.default_rng(4).normal(size=(3200, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()}
+    whole = np.floor(256 * x).astype(np.int64)
+    scores = whole[::5] @ whole.T
+    scores[np.arange(640), np.arange(0, 3200, 5)] = -(2**62)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    assert got == {(5 * q, n, int(i), int(scores[q, i])) for q in range(640) for n, i in enumerate(best[q], 1)}
+    assert max(rows for rows, _ in steps) > 8 << 20
+    assert not any(broadcast for rows, broadcast in steps if rows > 8 << 20)
+
+
 # Samples
 
 
