@@ -235,16 +235,20 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(several, "bucket", "left_semi").select("bucket", "blocks", "key", "root")
 
 
-def _met(rooted: DataFrame, signed: DataFrame, every_two: bool) -> DataFrame:
-    """The members with their signatures, in (bucket, g, h): each in its own block's, or in every two blocks' of its bucket."""
+def _met(rooted: DataFrame, signed: DataFrame, every_two: bool, more: Sequence[str] = ()) -> DataFrame:
+    """The members with their signatures (and ``more`` columns), in (bucket, g, h): each in its own block's, or in every two blocks' of its bucket.
+
+    A text is looked up once, with the list of its buckets, of which there are ``BANDS`` at most.
+    """
     mine = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
     if every_two:
         at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("g"), F.greatest(mine, o).alias("h")))
     else:
         at = F.array(F.struct(mine.alias("g"), mine.alias("h")))
-    data = ["key", "weight", "signature", "root"]
-    placed = rooted.join(signed.select("key", "weight", "signature"), "key").select("bucket", mine.alias("mine"), F.explode(at).alias("at"), *data)
-    return placed.select("bucket", "at.g", "at.h", "mine", *data)
+    data = ["key", "weight", "signature", "root", *more]
+    listed = rooted.groupBy("key").agg(F.min("root").alias("root"), F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
+    each = listed.join(signed.select("key", "weight", "signature", *more), "key").select(F.inline("buckets"), *data)
+    return each.select("bucket", mine.alias("mine"), F.explode(at).alias("at"), *data).select("bucket", "at.g", "at.h", "mine", *data)
 
 
 _PAIRS = "a long, b long, bucket long, g int, h int"
@@ -373,8 +377,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         many = found.where(F.col("a").isNull()).select("bucket", "g", "h")
         if not many.isEmpty():
             again = scratch.write(rooted.join(small(many.select("bucket").distinct(), scratch), "bucket", "left_semi"), "again")
-            met = _met(again, signed, True).join(small(many, scratch), ["bucket", "g", "h"], "left_semi")
-            full = met.join(_texts(docs, text, again, scratch), "key").select(*met.columns, "text")
+            full = _met(again, signed.join(_texts(docs, text, again, scratch), "key"), True, ["text"]).join(small(many, scratch), ["bucket", "g", "h"], "left_semi")
             links = links.unionByName(scratch.write(_compared(full, "links").select("a", "b"), "between"))
         linked = scratch.write(signed.select("key", "first").join(sized(components(links, scratch)), "key"), "linked")
         best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key"))

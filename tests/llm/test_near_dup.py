@@ -180,3 +180,34 @@ def test_one_row_of_each_class_stays(spark):
     assert sum(bool(t) and t.startswith(other) for _, t in kept) == 1
     assert sorted((i, t) for i, t in kept if t and t not in near and not t.startswith(other)) == [(3, "..."), (6, "!!! ++"), (8, "\U0001f600")]
     assert sum(t is None for _, t in kept) == 2 and len(kept) == 7
+
+
+def rows_of_joins(df):
+    """The rows that each join of a plan made."""
+    df.collect()
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            yield node.metrics().apply("numOutputRows").value()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            below = [node.executedPlan()]
+        elif "QueryStage" in node.nodeName():
+            below = [node.plan()]
+        for x in below:
+            yield from walk(x)
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("every_two", [False, True])
+def test_a_text_of_many_buckets_is_looked_up_once(spark, every_two):
+    signed = spark.range(40).selectExpr("id AS key", "id AS weight", "CAST(CAST(id AS string) AS binary) AS signature")
+    rooted = signed.selectExpr("key", "explode(sequence(0, 95)) AS bucket").selectExpr("CAST(bucket AS long) AS bucket", "2 AS blocks", "key", "key % 7 AS root")
+    met = near_dup._met(rooted, signed, every_two)
+    made = rows_of_joins(met)
+    assert made and max(made) == 40
+    place = spark.range(40).selectExpr("id AS key", "explode(sequence(0L, 95L)) AS bucket").selectExpr("key", "bucket", "CAST(pmod(xxhash64(key, bucket), 2) AS int) AS m").collect()
+    want = {(r.bucket, *sorted((r.m, o)), r.m, r.key, r.key % 7) for r in place for o in ((0, 1) if every_two else (r.m,))}
+    got = [(r.bucket, r.g, r.h, r.mine, r.key, r.root) for r in met.collect()]
+    assert len(got) == len(want) and set(got) == want
