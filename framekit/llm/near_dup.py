@@ -157,11 +157,31 @@ def _bands(signed: DataFrame) -> DataFrame:
     return signed.select("key", "weight", "signature").mapInArrow(run, "bucket long, key long, weight long")
 
 
+def _of_several(banded: DataFrame) -> DataFrame:
+    """The rows whose buckets have others. All bands are made and shuffled once: what meets is told from its neighbours in the order of buckets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        # The last row so far, and whether its bucket had another before it.
+        last, met = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch])
+            same = np.diff(rows.column("bucket").to_numpy()) == 0
+            several = np.append(same, False) | np.insert(same, 0, met)
+            last, met = pa.RecordBatch.from_pylist(rows.slice(len(rows) - 1).to_pylist(), schema=batch.schema), bool(several[-1])
+            yield from rows.slice(0, len(rows) - 1).filter(pa.array(several[:-1])).to_batches()
+        if met:
+            yield last
+
+    return banded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, banded.schema)
+
+
 def _members(signed: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, blocks, key) of the buckets of two texts and more, each set of members once: in the first band that gathers it."""
-    banded = _bands(signed)
-    several = banded.groupBy("bucket").count().where("count > 1").select("bucket")
-    met = scratch.write(banded.join(small(several, scratch), "bucket"), "met")
+    met = scratch.write(_of_several(_bands(signed)), "met")
     mixed = F.xxhash64("key")
     sets = met.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64(mixed)).alias("y"), F.sum("weight").alias("w")

@@ -211,3 +211,32 @@ def test_a_text_of_many_buckets_is_looked_up_once(spark, every_two):
     want = {(r.bucket, *sorted((r.m, o)), r.m, r.key, r.key % 7) for r in place for o in ((0, 1) if every_two else (r.m,))}
     got = [(r.bucket, r.g, r.h, r.mine, r.key, r.root) for r in met.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10_000])
+def test_bands_are_shuffled_once(spark, monkeypatch, size):
+    """However many buckets have several texts, and wherever the batches end."""
+    from framekit.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    plans, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, what: plans.setdefault(what, df) and write(self, df, what))
+    rng = random.Random(size)
+    rows = [(rng.randrange(30), i, 1) for i in range(40)] + [(77, i, 1) for i in range(9)] + [(99, 5, 1)]
+    monkeypatch.setattr(near_dup, "_bands", lambda signed: signed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        with Scratch(spark) as scratch:
+            got = {(r.bucket, r.key) for r in near_dup._members(spark.createDataFrame(rows, "bucket long, key long, weight long"), scratch).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = defaultdict(set)
+    for b, k, _ in rows:
+        by[b].add(k)
+    first = {}
+    for b in sorted(by, key=lambda b: (b % near_dup.BANDS, b)):
+        if len(by[b]) > 1:
+            first.setdefault(frozenset(by[b]), b)
+    assert got == {(b, k) for b in first.values() for k in by[b]}
+    assert list(plans)[0] == "met"
+    assert plans["met"]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(bucket") == 1
