@@ -471,6 +471,14 @@ def _paths(d: str) -> list[str]:
     return [f"{d}/{t}.parquet" for t in _TABLES]
 
 
+def _of_tables(read: Callable[..., DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    """What ``read`` finds, with the table's name; the names of its files need not tell it, as a table may be a folder."""
+    first, *others = (read(spark, path).withColumn("name", F.lit(t)).drop("filename") for t, path in zip(_TABLES, _paths(d), strict=True))
+    for df in others:
+        first = first.unionByName(df)
+    return first
+
+
 @_query(
     f"""WITH {_FILES} SELECT f.name, num_row_groups::INT AS blocks, c.compressed, g.bytes AS uncompressed, num_rows AS rows, c.columns::INT AS columns, c.n_values, c.nulls, created_by, 'UNENCRYPTED' AS encryption
 FROM f JOIN (SELECT name, SUM(total_compressed_size)::BIGINT AS compressed, COUNT(DISTINCT path_in_schema) AS columns, SUM(num_values)::BIGINT AS n_values, SUM(stats_null_count)::BIGINT AS nulls FROM m GROUP BY name) c USING (name)
@@ -527,7 +535,7 @@ def parquet_block_columns(spark, d):
 )
 def parquet_partitions(spark, d):
     """Each row group lies in one split, so the splits of a file add up to it."""
-    found = _named(fk.parquet_partitions(spark, *_paths(d)))
+    found = _of_tables(fk.parquet_partitions, spark, d)
     return found.groupBy("name").agg(
         F.sum("blocks").alias("blocks"), F.sum("compressedBytes").alias("compressed"), F.sum("rows").alias("rows"), F.sum("values").alias("n_values"), F.sum("nulls").alias("nulls")
     )
