@@ -520,7 +520,7 @@ def parquet_blocks(spark, d):
   total_compressed_size AS compressed, total_uncompressed_size AS uncompressed, num_values AS n_values, stats_null_count AS nulls FROM m"""
 )
 def parquet_block_columns(spark, d):
-    found = _named(fk.parquet_block_columns(spark, *_paths(d))).withColumnsRenamed({"columnStart": "start", "compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values"})
+    found = _of_tables(fk.parquet_block_columns, spark, d).withColumnsRenamed({"columnStart": "start", "compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values"})
     physical = F.upper(F.element_at(F.split("type", " "), 2))
     whole = lambda c: F.when(physical.startswith("INT") & ~F.col(c).like("%-%-%"), F.col(c))
     return found.select(

@@ -54,3 +54,11 @@ def test_partitions_of_tables_of_several_files(spark, folder):
         of.update({k: of[k] + v for k, v in r.items()})
     assert sorted(df.columns) == sorted(names)
     assert {r.pop("name"): r for r in (x.asDict() for x in df.collect())} == want and set(want) == set(TABLES)
+
+
+@pytest.mark.parametrize("name", ["parquet_block_columns"])
+def test_each_file_of_a_table(spark, folder, name):
+    df = core.queries()[name](spark, folder)
+    names, rows = asked_of_each_file(core.oracle_sql()[name], folder)
+    assert sorted(df.columns) == sorted(names)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, rows) and rows
