@@ -508,7 +508,7 @@ def parquet_schema(spark, d):
 FROM m GROUP BY name, row_group_id"""
 )
 def parquet_blocks(spark, d):
-    found = _named(fk.parquet_blocks(spark, *_paths(d))).withColumnsRenamed({"blockStart": "start", "compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values"})
+    found = _of_tables(fk.parquet_blocks, spark, d).withColumnsRenamed({"blockStart": "start", "compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values"})
     return found.select("name", "block", "start", "compressed", "uncompressed", "rows", "columns", "n_values", "nulls")
 
 
