@@ -485,7 +485,7 @@ FROM f JOIN (SELECT name, SUM(total_compressed_size)::BIGINT AS compressed, COUN
 JOIN (SELECT name, SUM(row_group_bytes)::BIGINT AS bytes FROM (SELECT DISTINCT name, row_group_id, row_group_bytes FROM m) GROUP BY name) g USING (name)"""
 )
 def parquet_metadata(spark, d):
-    found = _named(fk.parquet_metadata(spark, *_paths(d))).withColumnsRenamed({"compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values", "createdBy": "created_by"})
+    found = _of_tables(fk.parquet_metadata, spark, d).withColumnsRenamed({"compressedBytes": "compressed", "uncompressedBytes": "uncompressed", "values": "n_values", "createdBy": "created_by"})
     return found.select("name", "blocks", "compressed", "uncompressed", "rows", "columns", "n_values", "nulls", "created_by", "encryption")
 
 
