@@ -463,10 +463,6 @@ m AS (SELECT f.name, x.* FROM parquet_metadata('/root/testdata/sf*/*.parquet') x
 s AS (SELECT f.name AS table_name, x.* FROM parquet_schema('/root/testdata/sf*/*.parquet') x JOIN f USING (file_name))"""
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.withColumn("name", F.regexp_extract("filename", r"(\w+)\.parquet[^/]*$", 1)).drop("filename")
-
-
 def _paths(d: str) -> list[str]:
     return [f"{d}/{t}.parquet" for t in _TABLES]
 
@@ -495,7 +491,7 @@ def parquet_metadata(spark, d):
 FROM s JOIN (SELECT DISTINCT name AS table_name, replace(path_in_schema, ', ', '/') AS path FROM m) p ON p.table_name = s.table_name AND (p.path = s.name OR ends_with(p.path, '/' || s.name)) WHERE s.type IS NOT NULL AND num_children IS NULL"""
 )
 def parquet_schema(spark, d):
-    found = _named(fk.parquet_schema(spark, *_paths(d)))
+    found = _of_tables(fk.parquet_schema, spark, d)
     return found.select(
         F.col("name").alias("table_name"), F.col("columnName").alias("column_name"), F.array_join("columnPath", "/").alias("path"), "repetition", "type",
         F.coalesce("originalType", F.lit("-")).alias("original"), F.coalesce(F.regexp_extract("logicalType", r"^\w+", 0), F.lit("-")).alias("logical"),

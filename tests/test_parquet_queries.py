@@ -56,7 +56,7 @@ def test_partitions_of_tables_of_several_files(spark, folder):
     assert {r.pop("name"): r for r in (x.asDict() for x in df.collect())} == want and set(want) == set(TABLES)
 
 
-@pytest.mark.parametrize("name", ["parquet_metadata", "parquet_blocks", "parquet_block_columns"])
+@pytest.mark.parametrize("name", ["parquet_schema", "parquet_metadata", "parquet_blocks", "parquet_block_columns"])
 def test_each_file_of_a_table(spark, folder, name):
     df = core.queries()[name](spark, folder)
     names, rows = asked_of_each_file(core.oracle_sql()[name], folder)
